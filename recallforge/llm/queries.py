@@ -5,14 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recallforge.llm import langid, mixing, packing, quality, simhash, token_files
+from recallforge.llm import embedding_dedup, html, langid, mixing, packing, quality, simhash, token_files, topk
 from recallforge.llm.common import table
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -25,6 +33,10 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top(table(spark, sf_dir, "embeddings"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language(table(spark, sf_dir, "documents"))
 
@@ -33,5 +45,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op4_mix_sources, op5_quality, op7_pack, op9_langid, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_simhash_dedup, op3_embedding_dedup, op4_mix_sources, op5_quality, op7_pack, op8_topk_search, op9_langid, op10_token_files)}
 ORACLE: dict[str, str] = {}
