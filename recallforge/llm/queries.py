@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recallforge.llm import embedding_dedup, html, langid, mixing, packing, quality, simhash, token_files, topk
+from recallforge.llm import embedding_dedup, html, langid, lm, mixing, packing, quality, simhash, token_files, topk
 from recallforge.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -45,5 +49,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_simhash_dedup, op3_embedding_dedup, op4_mix_sources, op5_quality, op7_pack, op8_topk_search, op9_langid, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_simhash_dedup, op3_embedding_dedup, op4_mix_sources, op5_quality, op6_lm_score, op7_pack, op8_topk_search, op9_langid, op10_token_files)}
 ORACLE: dict[str, str] = {}
