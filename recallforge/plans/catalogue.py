@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from recallforge.plans import retrieval, stateful
+
+QUERIES = retrieval.QUERIES | stateful.QUERIES
+ORACLE = retrieval.ORACLE | stateful.ORACLE
