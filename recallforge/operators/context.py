@@ -39,7 +39,7 @@ def decay(score: Column, weight: float, now_ms: int, updated: Column, tau_days:
     """score (1 - w) + w e^(-age / tau); age in days, at least 0; 0.5 for an unknown age."""
     check_weight("decay weight", weight)
     age = F.greatest(F.lit(0.0), (F.lit(float(now_ms)) - updated) / DAY_MS)
-    return score * (1 - weight) + weight * F.coalesce(F.exp(-age / tau_days), F.lit(0.5))
+    return score * (1 - weight) + weight * F.when(updated.isNull(), 0.5).otherwise(F.exp(-age / tau_days))
 
 
 def connectivity(hits: DataFrame, edges: DataFrame, weight: float, key: str = "id") -> DataFrame:

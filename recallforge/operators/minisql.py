@@ -120,7 +120,7 @@ def _condition(out: Query, text: str) -> None:
 def scalar_text(payload: Column, key: str) -> Column:
     """Text of a top-level scalar of a JSON object: "null" for null, no value for a missing key, an array or an object.
 
-    payload is JSON text; numbers keep the text they have there.
+    payload is JSON text; a number has the text in which it is written again (1.50 is 1.5).
     """
     raw = F.from_json(payload, "map<string,string>", {"primitivesAsString": "true"})[key]
     variant = F.try_parse_json(payload)

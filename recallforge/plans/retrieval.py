@@ -260,7 +260,7 @@ def context_pack(spark, sf_dir):
 @_query(
     f"""WITH {_RANKED}, t AS (SELECT user_id, max(epoch_us(ts)) // 1000 ms FROM events GROUP BY user_id),
     m AS (SELECT doc_id, score / (SELECT max(score) FROM hits) s, ms FROM hits LEFT JOIN t ON user_id = doc_id % 200)
-    SELECT doc_id, round(s * 0.7::DOUBLE + 0.3::DOUBLE * coalesce(exp(-greatest(0::DOUBLE, ({NOW_MS}::DOUBLE - ms) / 86400000::DOUBLE) / {TAU_DAYS}::DOUBLE), 0.5::DOUBLE), 6) AS score FROM m"""
+    SELECT doc_id, round(s * 0.7::DOUBLE + 0.3::DOUBLE * CASE WHEN ms IS NULL THEN 0.5::DOUBLE ELSE exp(-greatest(0::DOUBLE, ({NOW_MS}::DOUBLE - ms) / 86400000::DOUBLE) / {TAU_DAYS}::DOUBLE) END, 6) AS score FROM m"""
 )
 def context_blend_decay(spark, sf_dir):
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")

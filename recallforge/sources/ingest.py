@@ -45,7 +45,7 @@ def documents(files_: DataFrame, tenant: str, collection: str, now_ms: int) -> D
     """Documents of imported files, with the file's facts as metadata."""
     keys = ("file_name", "media_type", "checksum")
     meta = F.create_map(*(x for k, c in zip(keys, ("name", "media_type", "checksum")) for x in (F.lit(k), F.col(c))))
-    text = F.when(F.col("extension") == "json", projection(F.regexp_replace("name", r"\.[^.]+$", ""), F.col("name"), F.col("text"))).otherwise(F.col("text"))
+    text = F.when(F.col("extension") == "json", projection(F.regexp_replace("name", r"\.[^.]+$", ""), F.col("name"), F.when(F.col("extension") == "json", F.col("text")))).otherwise(F.col("text"))
     return files_.select(F.concat(F.lit("file:"), "name").alias("id"), F.lit(tenant).alias("tenant_id"), F.lit(collection).alias("collection"), text.alias("text"), meta.alias("metadata"), F.lit(now_ms).alias("created_at"))
 
 
