@@ -86,21 +86,23 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int =
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task, ranks = encoder(path, True), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for b in pieces(batches):
-            out = []
-            for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode([t or "" for t in b.column("text").to_pylist()])):
-                ids += tail
-                n = len(ids) // 4
-                first = n % capacity or capacity
-                at = 0
-                for k in range(-(-n // capacity)):
-                    to = first + k * capacity
-                    out.append((doc, k, at, to - at, zlib.crc32(ids[4 * at : 4 * to]), task, int(ranks[to - at])))
-                    ranks[to - at] += 1
-                    at = to
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
+        task, ranks = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"]
+        with encoder(path, True) as enc:
+            for b in pieces(batches, size=4 << 20):
+                out = []
+                for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode([t or "" for t in b.column("text").to_pylist()])):
+                    ids += tail
+                    n = len(ids) // 4
+                    first = n % capacity or capacity
+                    at = 0
+                    for k in range(-(-n // capacity)):
+                        to = first + k * capacity
+                        out.append((doc, k, at, to - at, zlib.crc32(ids[4 * at : 4 * to]), task, int(ranks[to - at])))
+                        ranks[to - at] += 1
+                        at = to
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     return body.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
 

@@ -37,10 +37,15 @@ _LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.int64
 def encode_frame(docs: list[int | None], ids: list[bytes], task: int = 0, frame: int = 0) -> bytes:
     """One frame; ids are little-endian unsigned 32-bit integers, a byte string for each document."""
     values = np.frombuffer(b"".join(ids), "<u4")
-    table, where, counts = np.unique(values, return_inverse=True, return_counts=True)
+    if values.max(initial=0) < 1 << 20:  # as with any usual vocabulary: count in an array instead of sorting
+        every = np.bincount(values)
+        table = np.flatnonzero(every)
+        counts, where = every[table], values
+    else:
+        table, where, counts = np.unique(values, return_inverse=True, return_counts=True)
     order = np.lexsort((table, -counts))
-    rank = np.empty(len(table), np.uint32)
-    rank[order] = np.arange(len(table))
+    rank = np.empty(int(where.max(initial=0)) + 1, np.uint32)
+    rank[table[order] if where is values else order] = np.arange(len(table))
     ranks = rank[where]
     code = (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
     padded = np.zeros(-(-len(code) // 4) * 4, np.uint8)
@@ -87,16 +92,17 @@ def write(docs: DataFrame, folder: str, path: str, spaced: bool, end: int = END,
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task, frame, ids, names, size = encoder(path, spaced), TaskContext.get().partitionId(), 0, [], [], 0
+        task, frame, ids, names, size = TaskContext.get().partitionId(), 0, [], [], 0
         made = lambda: pa.record_batch({"frame": pa.array([encode_frame(names, ids, task, frame)], pa.binary())})
-        for b in pieces(batches, size=1 << 20):
-            for doc, x in zip(b.column("doc_id").to_pylist(), enc.encode([t or "" for t in b.column("text").to_pylist()])):
-                if ids and size + len(x) // 4 >= frame_tokens:
-                    yield made()
-                    frame, ids, names, size = frame + 1, [], [], 0
-                ids.append(x + tail)
-                names.append(doc)
-                size += len(x) // 4 + 1
+        with encoder(path, spaced) as enc:
+            for b in pieces(batches, size=1 << 20):
+                for doc, x in zip(b.column("doc_id").to_pylist(), enc.encode([t or "" for t in b.column("text").to_pylist()])):
+                    if ids and size + len(x) // 4 >= frame_tokens:
+                        yield made()
+                        frame, ids, names, size = frame + 1, [], [], 0
+                    ids.append(x + tail)
+                    names.append(doc)
+                    size += len(x) // 4 + 1
         if ids:
             yield made()
 

@@ -7,11 +7,29 @@ kept (little-endian unsigned 32-bit ids); a text with any other white space is e
 
 from __future__ import annotations
 
-import numpy as np
+import re
+from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from tokenizers import Tokenizer
 
-#: Most words kept, about 200 bytes each.
-_CACHE = 1_000_000
+#: Most words kept, about 200 bytes each; a task ends by forgetting its words.
+_CACHE = 600_000
+#: A word and the marks behind it: every tokenizer here cuts between a letter and these.
+_MARKED = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?&%#$*|]+)", re.S)
+#: One word of plain letters, with or without the space before it: the tokenizer's model takes it in one piece.
+_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes for themselves, the others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {b: chr(b) if b in plain else chr(next(others)) for b in range(256)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 class Encoder:
@@ -24,39 +42,62 @@ class Encoder:
         self.tokenizer, self.spaced, self.cache = Tokenizer.from_file(path), spaced, {}
 
     def _ids(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _chunks(self, text: str) -> list[str] | None:
+        """The words of a text in which single blanks and line feeds, and nothing else, part them; None of any other."""
         words = text.split()  # at any Unicode white space and at 1C to 1F
-        if words != text.replace("\n", " ").split(" "):
+        parts = text.count(" ") + text.count("\n")
+        if len(words) != parts + 1 or sum(map(len, words)) != len(text) - parts or "\0" in text:
             return None
-        if not self.spaced:
-            return words
-        if "\0" not in text:
-            return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        return None
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if self.spaced else words
+
+    def _learn(self, fresh: set[str]) -> None:
+        """Take words into the cache. Words of plain letters go to the tokenizer's model as they are, all else through the whole tokenizer."""
+        cache, marked = self.cache, []
+        for c in list(fresh):
+            m = _MARKED.fullmatch(c)
+            if m:
+                marked.append((c, m[1], m[2]))
+                fresh.discard(c)
+                fresh.update(x for x in m.groups() if x not in cache)
+        tokenize, odd = self.tokenizer.model.tokenize, []
+        for c in fresh:
+            if _LETTERS.fullmatch(c):
+                letters = (c if self.spaced else c.lower()).encode().decode("latin-1").translate(_BYTE_LETTERS)
+                cache[c] = array("I", [t.id for t in tokenize(letters)]).tobytes()
+            else:
+                odd.append(c)
+        for at in range(0, len(odd), 10_000):
+            cache.update(zip(odd[at : at + 10_000], self._ids(odd[at : at + 10_000])))
+        for c, word, marks in marked:
+            cache[c] = cache[word] + cache[marks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._chunks(t) if t else [] for t in texts]
-        if len(self.cache) > _CACHE:
-            self.cache.clear()
         cache = self.cache
-        fresh = list({c for parts in cut if parts for c in parts if c not in cache})
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            cache.update(zip(some, self._ids(some)))
-        whole = [i for i, parts in enumerate(cut) if parts is None]
+        if len(cache) > _CACHE:
+            cache.clear()
+        fresh: set[str] = set()
+        for parts in cut:
+            if parts:
+                fresh.update(set(parts).difference(cache))
+        self._learn(fresh)
         out = [b"" if parts is None else b"".join(map(cache.__getitem__, parts)) for parts in cut]
-        for i in whole:  # one at a time: such a text may be long
-            out[i] = self._ids([texts[i]])[0]
+        for i, parts in enumerate(cut):
+            if parts is None:  # one at a time: such a text may be long
+                out[i] = self._ids([texts[i]])[0]
         return out
 
 
 _HELD: dict = {}
 
 
-def encoder(path: str, spaced: bool) -> Encoder:
-    """One encoder, with its cache, for each Python worker and file."""
-    if (path, spaced) not in _HELD:
-        _HELD[path, spaced] = Encoder(path, spaced)
-    return _HELD[path, spaced]
+@contextmanager
+def encoder(path: str, spaced: bool) -> Iterator[Encoder]:
+    """One encoder for each Python worker and file; what it has learned goes at the end, so that a worker's memory does not grow from task to task."""
+    held = _HELD.get((path, spaced)) or _HELD.setdefault((path, spaced), Encoder(path, spaced))
+    try:
+        yield held
+    finally:
+        held.cache.clear()
