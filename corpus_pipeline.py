@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallforge.llm import langid, mixing, packing, quality, simhash
-from recallforge.llm.common import free_name, scratch, table
+from recallforge.llm.common import cut, free_name, scratch, table
 
 #: A document whose likeliest language is less likely than this is rejected, as is one without any letter.
 LANGUAGE_FLOOR = 0.5
@@ -28,9 +28,13 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest doc_id."""
-    kept = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of each near-duplicate group the document with the smallest doc_id; a null one only if the group has no other."""
+    row = free_name(docs, "_row")
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = simhash.near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row).alias("row"))
+    first = groups.join(numbered.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(order)["row"].alias(row))
+    return numbered.join(first.select(row), row, "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
