@@ -72,6 +72,34 @@ def text_scores(entries: DataFrame, query: list[str], keep: Column | None = None
     return (counted if keep is None else counted.where(keep)).withColumn("bm25", bm25(stats, query)).drop("tf", "dl")
 
 
+def postings(entries: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
+    """(token, key, f, dl): how often each token stands in each entry, and the entry's length. Counted within the entry, so nothing is shuffled."""
+    counted = entries.select(F.col(key).alias("key"), F.array_sort(tokens(F.col(text))).alias("t")).withColumn("dl", F.size("t"))
+    # In the sorted list a token's count is the distance between its first place and that of the next token.
+    start = F.filter(F.transform("t", lambda x, i: F.when((i == 0) | (F.get(F.col("t"), i - 1) != x), i)), lambda i: i.isNotNull())
+    runs = F.transform("starts", lambda s, i: F.struct(F.get(F.col("t"), s).alias("token"), (F.coalesce(F.get(F.col("starts"), i + 1), F.col("dl")) - s).alias("f")))
+    return counted.withColumn("starts", start).select("key", "dl", F.explode(runs).alias("p")).select("p.token", "key", "p.f", "dl")
+
+
+def text_search_many(entries: DataFrame, queries: DataFrame, top_k: int = 10, text: str = "text", key: str = "id") -> DataFrame:
+    """(query_id, rank, key, bm25) for a table of queries (query_id, query): the best top_k entries of each.
+
+    One pass over the entries serves all queries: postings meet the distinct tokens of the queries (a semi join that drops most
+    postings before any shuffle), and every ranking is a window of one query over its own candidates.
+    """
+    from recallforge.functions.text import normalised_query
+
+    wanted = queries.select("query_id", F.explode(F.array_distinct(F.split(normalised_query(F.col("query")), " "))).alias("token")).where("token <> ''")
+    lengths = entries.agg(F.count("*"), F.coalesce(F.sum(F.size(tokens(F.col(text)))), F.lit(0))).first()
+    n, mean = float(lengths[0]), lengths[1] / lengths[0] if lengths[0] and lengths[1] else 1.0
+    hits = postings(entries, text, key).join(wanted.select("token").distinct(), "token", "left_semi")
+    df = hits.groupBy("token").agg(F.count("*").cast("double").alias("df"))
+    weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / mean))
+    scored = hits.join(wanted.join(df, "token"), "token").groupBy("query_id", "key").agg(F.sum(weight).alias("bm25"))
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "key")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select("query_id", "rank", "key", "bm25")
+
+
 def vector_scores(entries: DataFrame, query: list[float], column: str = "embedding") -> DataFrame:
     """entries with a cos column, null where the vector cannot be compared."""
     return entries.withColumn("cos", cosine(F.col(column), literal(query)))

@@ -89,6 +89,21 @@ def text_minmax(spark, sf_dir):
     return retrieve.text_search(_entries(spark, sf_dir), WORDS).select(F.col("id").alias("doc_id"), *_six("score"), "reason")
 
 
+@_query(
+    f"""WITH d AS (SELECT doc_id, {_TOK} AS tok FROM documents), st AS (SELECT count(*)::DOUBLE n, sum(len(tok))::DOUBLE tot FROM d),
+    q AS (SELECT DISTINCT item_id, unnest({_TOK}) t FROM benchmark), w AS (SELECT doc_id, unnest(tok) t, len(tok) dl FROM d),
+    p AS (SELECT doc_id, t, dl, count(*) f FROM w WHERE t IN (SELECT t FROM q) GROUP BY ALL), dfs AS (SELECT t, count(*)::DOUBLE df FROM p GROUP BY t),
+    s AS (SELECT item_id, doc_id, sum(ln(1+(n-df+0.5::DOUBLE)/(df+0.5::DOUBLE))*f*2.2::DOUBLE/(f+1.2::DOUBLE*(0.25::DOUBLE+0.75::DOUBLE*dl/(tot/n)))) bm25 FROM q JOIN p USING (t) JOIN dfs USING (t), st GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(bm25, 9) DESC, doc_id) rank FROM s)
+    SELECT item_id, rank, doc_id, round(bm25, 6) AS bm25 FROM r WHERE rank <= 5"""
+)
+def bm25_batch(spark, sf_dir):
+    """Every benchmark passage as a query, in one plan."""
+    asked = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = retrieve.text_search_many(_entries(spark, sf_dir), asked, 5)
+    return found.select(F.col("query_id").alias("item_id"), F.col("rank").cast("long"), F.col("key").alias("doc_id"), *_six("bm25"))
+
+
 @_query(f"SELECT doc_id, t AS term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK}) t FROM documents) GROUP BY ALL")
 def term_frequencies(spark, sf_dir):
     return _entries(spark, sf_dir).select(F.col("id").alias("doc_id"), F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))

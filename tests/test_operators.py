@@ -203,3 +203,25 @@ def test_code_chunks():
     assert ingest.code_chunks("def a():\n  pass\ndef b():\n  pass", "python", 30) == ["def a():\n  pass\ndef b():\n  pass"]
     assert ingest.code_chunks("def a():\n  pass\ndef b():\n  pass", "py", 3) == ["def a():\n  pass", "def b():\n  pass"]
     assert ingest.code_chunks("a b c", "cobol", 2) == ["a b", "c"] and ingest.code_chunks(" ", "rust", 2) == []
+
+
+def test_postings_and_many_queries(spark):
+    df = spark.createDataFrame([(1, "b a b"), (2, "a"), (3, ""), (4, None), (5, "c c c b")], "id long, text string")
+    got = {(r.key, r.token): (r.f, r.dl) for r in retrieve.postings(df).collect()}
+    assert got == {(1, "a"): (1, 3), (1, "b"): (2, 3), (2, "a"): (1, 1), (5, "c"): (3, 4), (5, "b"): (1, 4)}
+    asked = spark.createDataFrame([("x", "A b"), ("y", "c"), ("z", "nothing")], "query_id string, query string")
+    many = {(r.query_id, r["rank"]): (r.key, round(r.bm25, 9)) for r in retrieve.text_search_many(df, asked, 2).collect()}
+    for q, words in (("x", ["a", "b"]), ("y", ["c"]), ("z", ["nothing"])):
+        one = retrieve.top(retrieve.text_scores(df, words).where("bm25 > 0"), 2, "bm25").collect()
+        assert [many.get((q, i + 1)) for i in range(len(one))] == [(r.id, round(r.bm25, 9)) for r in one]
+        assert (q, len(one) + 1) not in many
+
+
+def test_retrieval_quality(spark):
+    ranked = spark.createDataFrame([("a", 1, "x", "Start the Listener"), ("a", 2, "y", "other"), ("b", 1, "z", "no"), ("b", 2, "x", "vacuum")], "case string, rank int, id string, text string")
+    relevant = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "q")], "case string, id string")
+    r = report.quality(ranked, relevant, 5).first()
+    assert (r.cases, round(r.hit_at_1, 6), round(r.hit_at_k, 6), r.mrr) == (3, 0.333333, 0.666667, 0.5)
+    cases = spark.createDataFrame([("a", ["x"], ["z"], ["listener"]), ("b", ["x"], ["z"], ["VACUUM"]), ("c", [], [], ["q"])], "case string, expected_first array<string>, forbidden_first array<string>, must_include array<string>")
+    got = {c.case: (c.first_ok, c.not_forbidden, c.answer_ok) for c in report.case_checks(ranked, cases).collect()}
+    assert got == {"a": (True, True, True), "b": (False, False, True), "c": (True, True, False)}
