@@ -31,7 +31,7 @@ def traverse(edges: DataFrame, seeds: list, hops: int = 2, max_nodes: int | None
         edges = edges.where(F.col("relation") == relation)
     steps = both_ways(edges)
     kind = dict(steps.dtypes)["node"]
-    keep = bool(spark.conf.get("spark.checkpoint.dir", None))
+    keep = bool(spark.sparkContext.getCheckpointDir())
     level = spark.createDataFrame([(s, i) for i, s in enumerate(dict.fromkeys(seeds))], f"node {kind}, place long")
     seen, found, base = level.select("node"), None, 0
     for hop in range(1, hops + 1):
