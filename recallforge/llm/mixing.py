@@ -6,13 +6,15 @@ R words, comes from one more copy of some documents: a fixed-size sample with un
 probability of a document is min(1, k * x), where x falls slowly with the class of its length, and k is such
 that the expected words are R. With a uniform random number u from a hash of the document and
 inclusion probability p, documents are ranked by (u / (1 - u)) / (p / (1 - p)) and taken in this order as long as they
-fit into R words; one closing document then brings the sum as near to R as one can.
+fit into R words; those of the next few whose sizes fill the gap best close the sample.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ from recallforge.llm.common import WORD, cut, free_name
 WEIGHTS, CAP, SEED = (1, 2, 3), 3, 20240229
 #: x halves when the length grows 2^TEMPER-fold; ranks are first laid out in so many slices of each source.
 TEMPER, SLICES = 8, 4096
+#: The last BACK documents that fit and the SPARE behind them are those among which the fullest end of the sample is sought;
+#: and the widest gap (in words) for that.
+BACK, SPARE, MAX_GAP = 8, 64, 1 << 22
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> dict[str | None, float]:
@@ -53,6 +58,30 @@ def scale(classes: list[tuple[int, float]], room: float) -> float:
     return math.inf
 
 
+def close(f: pd.DataFrame) -> pd.DataFrame:
+    """The rows of one source's last slices that are taken: in rank order as long as they fit, but the last BACK of these and the next SPARE as their sizes best fill the gap."""
+    f = f.sort_values(["q", "u", "h", "doc_id", "row"], ignore_index=True)
+    sizes = f["size"].to_numpy(np.int64)
+    room = float(f["room"].iloc[0]) - float(f["below"].iloc[0])
+    fits = int(np.searchsorted(np.cumsum(sizes), room, side="right"))
+    first = max(0, fits - BACK) if room - sizes[: max(0, fits - BACK)].sum() <= MAX_GAP else fits
+    gap = int(round(room - sizes[:first].sum()))
+    some, reach, steps = sizes[first : fits + SPARE].tolist(), 1, []
+    limit = (1 << (2 * gap + 1)) - 1 if gap <= MAX_GAP else 0
+    for n in some if limit else []:
+        steps.append(reach)
+        reach |= (reach << n) & limit
+    low = (reach & ((1 << (gap + 1)) - 1)).bit_length() - 1 if limit else 0
+    above = reach >> (gap + 1)
+    high = gap + 1 + (above & -above).bit_length() - 1 if above else 0
+    at, chosen = high if above and high - gap < gap - low else low, []
+    for i in range(len(steps) - 1, -1, -1):
+        if not steps[i] >> at & 1:
+            chosen.append(first + i)
+            at -= some[i]
+    return f.iloc[[*range(first), *chosen]][["row"]]
+
+
 def copies(docs: DataFrame, row: str | None = None) -> DataFrame:
     """row key, doc_id, source, size, source_size, target and the copies that the mix takes, for every row of docs.
 
@@ -85,29 +114,25 @@ def copies(docs: DataFrame, row: str | None = None) -> DataFrame:
     joined = held.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("level", level)
     drawn = joined.withColumn("u", u).withColumn("p", p).withColumn("q", F.when((F.col("room") > 0) & (F.col("size") > 0), q))
     drawn = cut(drawn.withColumn("slice", F.floor(SLICES * (F.col("q") / (1 + F.col("q")))).cast("int")).drop("p", "level"), "drawn")
-    order = ["q", "u", "h", "doc_id", "row"]
-
-    # The slice of each source in which its words pass `room`: what lies below is taken whole, and only this one is sorted.
-    # Sampling is calibrated to q = 1, so that slice holds about 1 / SLICES of the source.
+    # The slice of each source in which its words pass `room`: what lies well below is taken whole, and only
+    # this one and the next ones on either side (until they hold BACK and SPARE documents) are sorted. Sampling is calibrated to q = 1, where a slice holds about 1 / SLICES of the source.
     ranked = drawn.where("q IS NOT NULL")
-    before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranked.groupBy("source", "slice").agg(F.sum("size").alias("words"), F.first("room").alias("room"))
-    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    edge = cut(sums.groupBy("source", "room").agg(F.min(F.when(F.col("before") + F.col("words") > F.col("room"), F.struct("slice", "before"))).alias("e"), F.sum("words").alias("all")), "edge")
-    edge = edge.select(F.col("source").alias("s"), F.coalesce("e.slice", F.lit(SLICES)).alias("last"), F.coalesce("e.before", "all").alias("below"))
-    with_edge = drawn.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    running = Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inside = with_edge.where("slice = last").withColumn("sum", F.col("below") + F.sum("size").over(running)).where("sum <= room")
-    inside = cut(inside.select("row", "source", "sum"), "inside")
-    reached = inside.groupBy(F.col("source").alias("s")).agg(F.max("sum").alias("sum"))
-    picked = with_edge.join(inside.select("row", F.lit(True).alias("in")), "row", "left")
-    picked = picked.withColumn("in", F.coalesce(F.col("in") | (F.col("slice") < F.col("last")), F.col("slice") < F.col("last"), F.lit(False)))
-    picked = picked.join(reached, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("gap", F.col("room") - F.coalesce("sum", "below"))
-    # One closing document for each source: the one left whose size is closest to the gap, if that is closer than none.
-    off = F.abs(F.col("size") - F.col("gap"))
-    closing = picked.where(~F.col("in") & F.col("q").isNotNull() & (off < F.col("gap"))).groupBy("source").agg(F.min(F.struct(off.alias("off"), *order)).alias("c"))
-    closing = closing.select(F.col("c.row").alias("row"), F.lit(1).alias("closes"))
-    return picked.join(closing, "row", "left").select("row", "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("in").cast("int") + F.coalesce("closes", F.lit(0))).cast("int").alias("copies"))
+    by_slice = Window.partitionBy("source").orderBy("slice")
+    sums = ranked.groupBy("source", "slice").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.first("room").alias("room"))
+    sums = cut(sums.withColumn("upto", F.sum("words").over(by_slice)), "slices")
+    edge = sums.where("upto > room").groupBy("source").agg(F.min("slice").alias("last"), F.min_by(F.col("upto") - F.col("words"), "slice").alias("below"))
+    edge = edge.select(F.col("source").alias("s"), "last", "below")
+    around = sums.join(edge, F.col("source").eqNullSafe(F.col("s")))
+    after = around.where("slice >= last").withColumn("spare", F.sum("n").over(by_slice) - F.col("n")).where(F.col("spare") < SPARE)
+    back = around.where("slice < last").withColumn("spare", F.sum("n").over(Window.partitionBy("source").orderBy(F.desc("slice"))) - F.col("n")).where(F.col("spare") < BACK)
+    span = after.select("s", "slice", "upto", "words").union(back.select("s", "slice", "upto", "words"))
+    span = span.groupBy("s").agg(F.min("slice").alias("last"), F.max("slice").alias("end"), F.min(F.col("upto") - F.col("words")).alias("below"))
+    with_edge = drawn.join(F.broadcast(span) if len(sizes) < 10_000 else span, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    near = with_edge.where("slice BETWEEN last AND end").select("row", "source", "size", "room", "below", "q", "u", "h", "doc_id")
+    inside = cut(near.groupBy("source").applyInPandas(close, "row long"), "inside").withColumn("in", F.lit(1))
+    picked = with_edge.join(inside, "row", "left")
+    extra = F.when(F.col("q").isNull(), 0).when(F.col("last").isNull() | (F.col("slice") < F.col("last")), 1).otherwise(F.coalesce("in", F.lit(0)))
+    return picked.select("row", "doc_id", "source", "size", "source_size", "target", (F.col("whole") + extra).cast("int").alias("copies"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
