@@ -126,7 +126,7 @@ def test_targets():
 
 
 def test_mixing(spark):
-    for sf, near in ((SMALL, 0.3), ("/root/testdata/sf0.1", 0.02)):
+    for sf, near in ((SMALL, 0.03), ("/root/testdata/sf0.1", 0.002)):
         d = table(spark, sf, "documents")
         got = mixing.mix(d).collect()
         words = {r.doc_id: (r.source, len((r.text or "").encode().split())) for r in d.collect()}
@@ -144,6 +144,26 @@ def test_mixing(spark):
         assert sorted(tuple(r) for r in mixing.mix(d.repartition(5)).collect()) == sorted(map(tuple, got))
 
 
+def test_closing_fills_the_gap_best():
+    import pandas as pd
+
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(r.integers(1, 14))
+        f = pd.DataFrame({"row": range(n), "size": r.integers(1, 60, n), "room": float(r.integers(0, 500)) + 0.4, "below": 7, "q": np.sort(r.random(n)), "u": 0.5, "h": 1, "doc_id": range(n)})
+        got = set(mixing.close(f.sample(frac=1, random_state=1))["row"])
+        room = f["room"][0] - 7
+        fits = int((f["size"].cumsum() <= room).sum())
+        first = max(0, fits - mixing.BACK)
+        sums = {0}
+        for k in f["size"][first:]:
+            sums |= {x + k for x in sums}
+        base = f["size"][:first].sum()
+        assert set(range(first)) <= got
+        gap = max(0, round(room - base))
+        assert abs(f["size"][sorted(got)].sum() - base - gap) == min(abs(x - gap) for x in sums if x <= 2 * gap)
+
+
 def test_inclusion_follows_the_odds(spark):
     rows = [(i, " ".join(["w"] * (1 + i % 64)), "a" if i % 2 else "b") for i in range(6000)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
