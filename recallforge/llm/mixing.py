@@ -65,7 +65,7 @@ def close(f: pd.DataFrame) -> pd.DataFrame:
     room = float(f["room"].iloc[0]) - float(f["below"].iloc[0])
     fits = int(np.searchsorted(np.cumsum(sizes), room, side="right"))
     first = max(0, fits - BACK) if room - sizes[: max(0, fits - BACK)].sum() <= MAX_GAP else fits
-    gap = int(round(room - sizes[:first].sum()))
+    gap = max(0, int(round(room - sizes[:first].sum())))
     some, reach, steps = sizes[first : fits + SPARE].tolist(), 1, []
     limit = (1 << (2 * gap + 1)) - 1 if gap <= MAX_GAP else 0
     for n in some if limit else []:
