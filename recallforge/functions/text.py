@@ -17,6 +17,15 @@ SYNONYMS = {
 }
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once for each row however often use mentions it.
+
+    Column expressions are written out wherever they are mentioned, also inside lambdas, where they would be computed again for each
+    element; a lambda variable is not.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def tokens(text: Column) -> Column:
     """Lower-case tokens; split before lower-casing, as lower case may add combining marks."""
     return F.transform(F.filter(F.split(text, TOKEN_BREAK), lambda t: t != ""), F.lower)
@@ -38,10 +47,12 @@ def query_tokens(text: str) -> list[str]:
 
 def chunks(text: Column, size: int = CHUNK_TOKENS) -> Column:
     """Groups of `size` white-space words, each joined by one space; none for a blank text."""
-    words = F.filter(F.split(text, SPACE), lambda t: t != "")
-    count = F.ceil(F.size(words) / size).cast("int")
-    made = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.array_join(F.slice(words, i * size + 1, size), " "))
-    return F.when(count > 0, made).otherwise(F.array().cast("array<string>"))
+    def cut(words: Column) -> Column:
+        count = F.ceil(F.size(words) / size).cast("int")
+        made = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.array_join(F.slice(words, i * size + 1, size), " "))
+        return F.when(count > 0, made).otherwise(F.array().cast("array<string>"))
+
+    return let(F.filter(F.split(text, SPACE), lambda t: t != ""), cut)
 
 
 def approx_tokens(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, LongType, StructField, StructType
 
-from recallforge.functions.text import tokens
+from recallforge.functions.text import let, tokens
 
 DIM = 64
 
@@ -22,8 +22,8 @@ def _dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine in double precision; null for empty vectors, different lengths and zero vectors."""
-    length = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
-    return F.when((F.size(a) > 0) & (F.size(a) == F.size(b)) & (length > 0), _dot(a, b) / length)
+    parts = F.struct(_dot(a, b).alias("dot"), (F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))).alias("length"))
+    return F.when((F.size(a) > 0) & (F.size(a) == F.size(b)), let(parts, lambda p: F.when(p["length"] > 0, p["dot"] / p["length"])))
 
 
 def literal(vector: list[float]) -> Column:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallforge.functions.text import tokens
+from recallforge.functions.text import let, tokens
 from recallforge.functions.vector import cosine, literal
 
 K1, B, RRF, EPSILON = 1.2, 0.75, 60, 1.1920929e-07
@@ -41,9 +41,11 @@ class CorpusStats:
 def with_term_counts(entries: DataFrame, query: list[str], text: str = "text") -> DataFrame:
     """entries with dl (tokens of the text) and tf (count of each query token)."""
     wanted = F.array(*map(F.lit, query)).cast("array<string>")
-    spread = entries.withColumn("all_tokens", tokens(F.col(text))).withColumn("dl", F.size("all_tokens"))
-    hits = F.filter("all_tokens", lambda t: F.array_contains(wanted, t))
-    return spread.withColumn("hits", hits).withColumn("tf", F.transform(wanted, lambda q: F.size(F.filter("hits", lambda t: t == q)))).drop("all_tokens", "hits")
+    per_token = lambda hits: F.transform(wanted, lambda q: F.size(F.filter(hits, lambda t: t == q)))
+    both = let(tokens(F.col(text)), lambda found: F.struct(F.coalesce(F.size(found), F.lit(0)).alias("dl"), let(F.filter(found, lambda t: F.array_contains(wanted, t)), per_token).alias("tf")))
+    # A generator is a fence for the optimizer: without it a later filter on the score would repeat all of this.
+    spread = entries.select("*", F.explode(F.array(both)).alias("counted_"))
+    return spread.select(*entries.columns, "counted_.dl", "counted_.tf")
 
 
 def corpus_stats(counted: DataFrame, query: list[str]) -> CorpusStats:
@@ -65,20 +67,22 @@ def bm25(stats: CorpusStats, query: list[str], tf: str = "tf", dl: str = "dl") -
     return out
 
 
-def text_scores(entries: DataFrame, query: list[str], keep: Column | None = None, text: str = "text") -> DataFrame:
-    """entries (those that keep admits) with a bm25 column; the statistics are those of all entries."""
+def text_scores(entries: DataFrame, query: list[str], keep: Column | None = None, text: str = "text", stats: CorpusStats | None = None) -> DataFrame:
+    """entries (those that keep admits) with a bm25 column; the statistics are those of all entries, counted here if they are not given."""
     counted = with_term_counts(entries, query, text)
-    stats = corpus_stats(counted, query)
+    stats = stats or corpus_stats(counted, query)
     return (counted if keep is None else counted.where(keep)).withColumn("bm25", bm25(stats, query)).drop("tf", "dl")
 
 
 def postings(entries: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
     """(token, key, f, dl): how often each token stands in each entry, and the entry's length. Counted within the entry, so nothing is shuffled."""
-    counted = entries.select(F.col(key).alias("key"), F.array_sort(tokens(F.col(text))).alias("t")).withColumn("dl", F.size("t"))
-    # In the sorted list a token's count is the distance between its first place and that of the next token.
-    start = F.filter(F.transform("t", lambda x, i: F.when((i == 0) | (F.get(F.col("t"), i - 1) != x), i)), lambda i: i.isNotNull())
-    runs = F.transform("starts", lambda s, i: F.struct(F.get(F.col("t"), s).alias("token"), (F.coalesce(F.get(F.col("starts"), i + 1), F.col("dl")) - s).alias("f")))
-    return counted.withColumn("starts", start).select("key", "dl", F.explode(runs).alias("p")).select("p.token", "key", "p.f", "dl")
+    def runs(t: Column) -> Column:
+        # In the sorted list a token's count is the distance between its first place and that of the next token.
+        first = F.filter(F.transform(t, lambda x, i: F.when((i == 0) | (F.get(t, i - 1) != x), i)), lambda i: i.isNotNull())
+        return let(first, lambda s: F.transform(s, lambda at, i: F.struct(F.get(t, at).alias("token"), (F.coalesce(F.get(s, i + 1), F.size(t)) - at).alias("f"), F.size(t).alias("dl"))))
+
+    found = entries.select(F.col(key).alias("key"), F.explode(let(F.array_sort(tokens(F.col(text))), runs)).alias("p"))
+    return found.select("p.token", "key", "p.f", "p.dl")
 
 
 def text_search_many(entries: DataFrame, queries: DataFrame, top_k: int = 10, text: str = "text", key: str = "id") -> DataFrame:
@@ -102,7 +106,8 @@ def text_search_many(entries: DataFrame, queries: DataFrame, top_k: int = 10, te
 
 def vector_scores(entries: DataFrame, query: list[float], column: str = "embedding") -> DataFrame:
     """entries with a cos column, null where the vector cannot be compared."""
-    return entries.withColumn("cos", cosine(F.col(column), literal(query)))
+    value = F.array(cosine(F.col(column), literal(query)))
+    return entries.select("*", F.explode(value).alias("cos"))  # a fence, as in with_term_counts
 
 
 def min_max(df: DataFrame, raw: str, score: str = "score") -> DataFrame:
@@ -154,14 +159,14 @@ def ranks_of(pool: DataFrame, few: list, raw: str, key: str) -> dict:
     return out
 
 
-def hybrid_search(entries: DataFrame, query: list[str], vector: list[float], top_k: int = 10, key: str = "id", keep: Column | None = None) -> DataFrame:
+def hybrid_search(entries: DataFrame, query: list[str], vector: list[float], top_k: int = 10, key: str = "id", keep: Column | None = None, stats: CorpusStats | None = None) -> DataFrame:
     """Reciprocal rank fusion of the nearest fetch_k entries by cosine and all entries with a query token.
 
     A null cosine and a BM25 of 0 are unranked: one more than the number of candidates. A row beyond place 2 * top_k + 60 of both lists scores
     less than 1 / (60 + top_k), which the first top_k of a list reach, so only the heads of the two lists (a bounded number of rows) are
     fused, with their exact ranks among all candidates.
     """
-    scored = vector_scores(text_scores(entries, query, keep), vector).select(key, "cos", "bm25").persist()
+    scored = vector_scores(text_scores(entries, query, keep, stats=stats), vector).select(key, "cos", "bm25").persist()
     try:
         near = scored.where("cos IS NOT NULL").orderBy(F.desc("cos"), key).limit(fetch_k(top_k)).collect()
         last = near[-1] if near else None

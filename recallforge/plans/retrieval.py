@@ -207,8 +207,10 @@ f AS (SELECT doc_id, CASE WHEN cos IS NULL THEN n + 1 ELSE vr0 END vr, CASE WHEN
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, top_k: int = 10) -> DataFrame:
-    entries = with_hash_embedding(_entries(spark, sf_dir).select("id", "text")).withColumn("embedding", F.col("slots").cast("array<double>")).drop("slots")
-    return retrieve.hybrid_search(entries, WORDS, [float(x) for x in _QUERY_SLOTS], top_k)
+    plain = _entries(spark, sf_dir).select("id", "text")
+    stats = retrieve.corpus_stats(retrieve.with_term_counts(plain, WORDS), WORDS)  # before the embedding, which need not run for it
+    entries = with_hash_embedding(plain).withColumn("embedding", F.col("slots").cast("array<double>")).drop("slots")
+    return retrieve.hybrid_search(entries, WORDS, [float(x) for x in _QUERY_SLOTS], top_k, stats=stats)
 
 
 @_query(f"WITH {_POOL} SELECT doc_id, round(1.0::DOUBLE/(60+vr) + 1.0::DOUBLE/(60+tr), 6) AS score, 'hybrid/rrf(vector_rank=' || vr || ', text_rank=' || tr || ')' AS reason FROM f ORDER BY 1.0::DOUBLE/(60+vr) + 1.0::DOUBLE/(60+tr) DESC, doc_id LIMIT 10")
