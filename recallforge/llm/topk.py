@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallforge.llm import vectors
-from recallforge.llm.common import cut
+from recallforge.llm.common import cut, hash_below
 
 K, SCALE, EVERY = 5, 256, 50
 BLOCK, GROUP, HEAD, SAMPLE = 8192, 2048, 24, 4096
 _EXACT = float(1 << 53)
+#: Stands for a null vec_id, behind every other in ties.
+NO_ID = (1 << 63) - 1
 
 
 def integers(table: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -58,7 +60,7 @@ def search(queries: pd.DataFrame, block: pd.DataFrame, basis: np.ndarray, k: int
     width = len(basis)
     wide = lambda raw: (lambda m: np.pad(m, ((0, 0), (0, width - m.shape[1]))))(vectors.stacked(list(raw)))
     c, q = wide(block["v"]), wide(queries["v"])
-    c_row, c_id = block["row"].to_numpy(np.int64), block["vec_id"].fillna(1 << 62).to_numpy(np.int64)
+    c_row, c_id = block["row"].to_numpy(np.int64), block["tie"].to_numpy(np.int64)
     q_row, floor = queries["row"].to_numpy(np.int64), queries["floor"].to_numpy(float)
     head = min(HEAD, width)
     cr, qr = c @ basis, q @ basis
@@ -86,12 +88,11 @@ def search(queries: pd.DataFrame, block: pd.DataFrame, basis: np.ndarray, k: int
         out.append(pd.DataFrame({"q_row": q_row[s][i[keep]], "c_row": c_row[j[keep]], "score": score[keep]}))
     empty = pd.DataFrame({"q_row": np.zeros(0, np.int64), "c_row": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
     got = pd.concat(out) if out else empty
-    names = block.set_index("row")["vec_id"]
-    return got.assign(vec_id=pd.array(names.reindex(got["c_row"]).to_numpy(), "Int64"))
+    return got.assign(tie=pd.Series(c_id, index=c_row).reindex(got["c_row"]).to_numpy(np.int64))
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("q_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "c_row")
+    w = Window.partitionBy("q_row").orderBy(F.desc("score"), "tie", "c_row")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -103,17 +104,18 @@ def top(table: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY) ->
     beyond 64 bits is cut to their range. An empty table gives an empty table.
     """
     spark = table.sparkSession
-    rows = cut(integers(table, scale).withColumn("row", F.monotonically_increasing_id()), "integers")
+    rows = integers(table, scale).withColumn("tie", F.coalesce("vec_id", F.lit(NO_ID))).withColumn("row", F.monotonically_increasing_id())
+    rows = cut(rows, "integers")
     stats = rows.agg(F.count("*"), F.max(F.octet_length("v"))).first()
     out = "query_id long, rank int, vec_id long, score long"
     if not stats[0] or not stats[1]:
         return spark.createDataFrame([], out)
     total, width = stats[0], stats[1] // 8
     # The rotation only makes bounds tighter, so a bounded sample of vectors is enough for it.
-    some = rows.select("v").orderBy(F.xxhash64("row")).limit(SAMPLE).collect()
-    x = vectors.stacked([bytes(r.v) for r in some])
+    some = rows.where(hash_below(F.lit(SAMPLE / total), "row")).select("v").collect()
+    x = vectors.stacked([bytes(r.v) for r in some]) if some else np.zeros((0, width))
     x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
-    basis = np.linalg.svd(x / max(1.0, np.abs(x).max()), full_matrices=True)[2].T
+    basis = np.linalg.svd(x / max(1.0, np.abs(x).max(initial=0)), full_matrices=True)[2].T if len(x) else np.eye(width)
 
     blocks = -(-total // BLOCK)
     # Blocks by descending length: the ends of the ranges come from Spark's range partitioning.
@@ -123,10 +125,10 @@ def top(table: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY) ->
     queries = rows.where(F.col("vec_id") % every == 0)
     groups = max(1, -(-queries.count() // GROUP))
     queries = queries.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
-    found = "q_row long, c_row long, score long, vec_id long"
+    found = "q_row long, c_row long, score long, tie long"
 
-    # The longest vectors, a bounded number of them, give the first thresholds.
-    ahead = rows.orderBy(F.desc("length"), "row").limit(BLOCK // 4).toPandas()
+    # Some of the longest vectors, a bounded number of them, give the first thresholds.
+    ahead = pd.DataFrame(sorted_.where(F.col("block") == min(longest)).select("row", "tie", "v", "length").take(BLOCK // 4), columns=["row", "tie", "v", "length"])
     lead = spark.sparkContext.broadcast(ahead)
 
     def start(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,9 +138,9 @@ def top(table: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY) ->
                 got = search(some, lead.value, basis, k, True)
                 kth = got.groupby("q_row")["score"].agg(lambda s: s.min() if len(s) >= k else -np.inf)
                 some["floor"] = kth.reindex(some["row"]).fillna(-np.inf).to_numpy(float)
-                yield some[["row", "vec_id", "v", "length", "part", "floor"]]
+                yield some[["row", "v", "length", "part", "floor"]]
 
-    begun = cut(queries.select("row", "vec_id", "v", "length", "part").mapInPandas(start, "row long, vec_id long, v binary, length double, part int, floor double"), "begun")
+    begun = cut(queries.select("row", "v", "length", "part").mapInPandas(start, "row long, v binary, length double, part int, floor double"), "begun")
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -148,14 +150,14 @@ def top(table: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY) ->
                     yield some.assign(block=block)[["block", "part", "row", "v", "length", "floor"]]
 
     sent = begun.select("row", "v", "length", "part", "floor").mapInPandas(send, "block int, part int, row long, v binary, length double, floor double")
-    copied = sorted_.select("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "row", "vec_id", "v", "length")
+    copied = sorted_.select("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "row", "tie", "v", "length")
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
-            return pd.DataFrame({"q_row": [], "c_row": [], "score": [], "vec_id": []}).astype("int64")
+            return pd.DataFrame({"q_row": [], "c_row": [], "score": [], "tie": []}).astype("int64")
         return search(q, c, basis, k, False)
 
     all_found = sent.groupBy("block", "part").cogroup(copied.groupBy("block", "part")).applyInPandas(meet, found)
     best = _ranked(all_found, k)
     named = best.join(rows.where(F.col("vec_id") % every == 0).select(F.col("row").alias("q_row"), F.col("vec_id").alias("query_id")), "q_row")
-    return named.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return named.select("query_id", F.col("rank").cast("int"), F.nullif(F.col("tie"), F.lit(NO_ID)).alias("vec_id"), "score")
