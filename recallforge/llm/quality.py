@@ -29,6 +29,9 @@ _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[ord("a") : ord("z") + 1] = _SHAPE[128:] = ord("a")
 _SHAPE[ord("A") : ord("Z") + 1] = ord("A")
 _SHAPE[ord("0") : ord("9") + 1] = ord("0")
+#: Shapes of which a run counts once.
+_RUN = np.zeros(256, bool)
+_RUN[[ord("a"), ord("A"), ord("0")]] = True
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _POWER = np.uint64(0x100000001B3)
 
@@ -52,26 +55,25 @@ def _span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: t
     return _mix((total[ends] - total[starts]) * powers[1][starts])
 
 
-def features(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of all features of all texts, one text after the other, and the number of slots of each text."""
+def grams(lines: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each kind of feature, the slots of all texts, in order, and the text that each belongs to."""
     data = np.frombuffer(b" ".join(lines) + b" ", np.uint8)
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines)) + 1
-    if not len(lines) or len(data) == len(lines):
-        return np.zeros(0, np.int64), np.zeros(len(lines), np.int64)
-    powers = _powers(len(data) + 1)
     space = _SPACE[data]
     starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+    if not len(starts):
+        return
     ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    powers = _powers(len(data) + 1)
     word = _span_hash(data, starts, ends, powers)
     shape = _SHAPE[data]
-    kept = np.concatenate(([True], shape[1:] != shape[:-1])) | ~np.isin(shape, np.frombuffer(b"aA0", np.uint8))
+    kept = np.concatenate(([True], shape[1:] != shape[:-1])) | ~_RUN[shape]
     kept[starts] = True
     before = np.concatenate(([0], np.cumsum(kept)))
     form = _span_hash(shape[kept], before[starts], before[ends], powers)
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines)) + 1
     owner = np.searchsorted(np.cumsum(sizes), starts, side="right")
     same = np.concatenate(([False], (word[1:] == word[:-1]) & (owner[1:] == owner[:-1])))
     form = np.where(same, np.uint64(12345), form)
-    out, who = [], []
     for salt, h, n in ((1, word, 1), (2, word, 2), (3, form, 1), (4, form, 2), (5, form, 3)):
         if len(h) < n:
             continue
@@ -80,18 +82,25 @@ def features(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         for k in range(n):
             mixed = _mix(mixed * _MULT + h[k : k + last])
         inside = owner[:last] == owner[n - 1 :]
-        out.append((mixed[inside] >> np.uint64(20)).astype(np.int64) & (BUCKETS - 1))
-        who.append(owner[:last][inside])
-    who, out = np.concatenate(who), np.concatenate(out)
-    return out[np.argsort(who, kind="stable")], np.bincount(who, minlength=len(lines))
+        yield (mixed[inside] >> np.uint64(20)).astype(np.int64) & (BUCKETS - 1), owner[:last][inside]
+
+
+def features(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of all features of all texts, one text after the other, and the number of slots of each text."""
+    got = list(grams(lines))
+    if not got:
+        return np.zeros(0, np.int64), np.zeros(len(lines), np.int64)
+    slots, who = (np.concatenate(x) for x in zip(*got))
+    return slots[np.argsort(who, kind="stable")], np.bincount(who, minlength=len(lines))
 
 
 def scores(lines: list[bytes], weights: np.ndarray) -> np.ndarray:
     """Probability of label 1 for each text; weights has the bias last."""
-    slots, sizes = features(lines)
-    edges = np.concatenate(([0], np.cumsum(sizes)))
-    total = np.concatenate(([0.0], np.cumsum(weights[slots])))
-    z = weights[-1] + GAIN * (total[edges[1:]] - total[edges[:-1]]) / np.maximum(sizes, 1)
+    total, sizes = np.zeros(len(lines)), np.zeros(len(lines))
+    for slots, who in grams(lines):
+        total += np.bincount(who, weights=weights[slots], minlength=len(lines))
+        sizes += np.bincount(who, minlength=len(lines))
+    z = weights[-1] + GAIN * total / np.maximum(sizes, 1)
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
@@ -105,8 +114,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], weight: dict[int, floa
 
     for _ in range(EPOCHS):
         for slots, values, label in rows:
-            at = np.concatenate((slots, [BUCKETS]))
-            x = np.concatenate((values, [1.0]))
+            at = np.append(slots.astype(np.int64), BUCKETS)
+            x = np.append(values.astype(float), 1.0)
             now = solve(at)
             p = 1 / (1 + np.exp(-np.clip(now @ x, -35, 35)))
             g = (p - label) * x * weight[label]
@@ -135,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     joined = body.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
+        for b in pieces(batches, size=1 << 20):
             slots, sizes = features(texts(b.column("text")))
             at, out = 0, []
             for size in sizes.tolist():
@@ -146,11 +155,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [r for f in frames for r in f.itertuples(index=False)]
+        if not got:
+            return
         got.sort(key=lambda r: (((r.doc_id + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1), r.slots, r.counts, r.quality))
         seen = {c: sum(r.quality == c for r in got) for c in (0, 1)}
         # Both classes weigh as in the whole table, the more thinly sampled one 1.
         weight = {c: min(1.0, count.get(c, 0) / max(1, seen[c]) * min(seen[k] / max(1, count.get(k, 0)) for k in (0, 1) if seen[k])) for c in (0, 1)}
-        w = train([(np.frombuffer(r.slots, "<i4").astype(np.int64), np.frombuffer(r.counts, "<f4").astype(float), r.quality) for r in got], weight)
+        w = train([(np.frombuffer(r.slots, "<i4"), np.frombuffer(r.counts, "<f4"), r.quality) for r in got], weight)
         yield pd.DataFrame({"w": [w.astype("<f4").tobytes()]})
 
     sparse = joined.mapInArrow(rows, "doc_id long, quality int, slots binary, counts binary")
@@ -164,7 +175,7 @@ def classify(docs: DataFrame, weights: np.ndarray, column: str = "score") -> Dat
     schema = wider(docs, **{column: DoubleType()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, size=4 << 20):
+        for b in pieces(batches, size=1 << 20):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores(texts(b.column("text")), held.value.astype(float)))], [*b.schema.names, column])
 
     return docs.mapInArrow(run, schema)
@@ -182,7 +193,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = body.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, size=4 << 20):
+        for b in pieces(batches, size=1 << 20):
             yield pa.record_batch({"doc_id": b.column("doc_id"), "score": pa.array(scores(texts(b.column("text")), held.value.astype(float)))})
 
     scored = body.mapInArrow(run, "doc_id long, score double")
