@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from recallforge.llm import langid, mixing, packing, quality, simhash
 from recallforge.llm.common import cut, free_name, scratch, table
 
-#: A document whose likeliest language is less likely than this is rejected, as is one without any letter.
-LANGUAGE_FLOOR = 0.5
+#: A document whose likeliest language is less likely than so many times chance (one in the number of languages) is rejected, as is one without any letter.
+OVER_CHANCE = 1.2
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +21,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; rejected are those without a letter and those below LANGUAGE_FLOOR."""
+    """Documents whose language is recognised; rejected are those without a letter and those hardly above chance: a short clean text may be in doubt and stays."""
     lang, score = free_name(docs, "_lang"), free_name(docs, "_score")
-    named = langid.label(docs, langid.fit(docs), lang, score)
-    return named.where((F.col(lang) != langid.UND) & (F.col(score) >= LANGUAGE_FLOOR)).drop(lang, score)
+    net = langid.fit(docs)
+    floor = min(0.5, OVER_CHANCE / len(net.langs)) if net else 0.0
+    named = langid.label(docs, net, lang, score)
+    return named.where((F.col(lang) != langid.UND) & (F.col(score) >= floor)).drop(lang, score)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
