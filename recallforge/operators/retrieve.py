@@ -149,8 +149,8 @@ def ranks_of(pool: DataFrame, few: list, raw: str, key: str) -> dict:
     order = sorted((r for r in few if r[raw] is not None), key=lambda r: (-r[raw], r[key]))
     if not order:
         return {}
-    marks = F.array(*(F.struct(F.lit(r[raw]).alias("x"), F.lit(r[key]).alias("k")) for r in order))
-    at_or_before = lambda s: (s["x"] > F.col(raw)) | ((s["x"] == F.col(raw)) & (s["k"] <= F.col(key)))
+    marks = F.arrays_zip(F.lit([float(r[raw]) for r in order]), F.lit([r[key] for r in order]))
+    at_or_before = lambda s: (s["0"] > F.col(raw)) | ((s["0"] == F.col(raw)) & (s["1"] <= F.col(key)))
     gaps = {r[0]: r[1] for r in pool.where(F.col(raw).isNotNull()).groupBy(F.size(F.filter(marks, at_or_before))).count().collect()}
     out, before = {}, 0
     for i, r in enumerate(order):
