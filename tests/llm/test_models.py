@@ -157,3 +157,12 @@ def test_lm_odd_rows(docs):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got.values())
     assert lm.score(docs("a").where("false")).collect() == []
     assert len(lm.score(docs("a", "a", None, ids=[None, 5, None])).collect()) == 3
+
+
+def test_lm_learns_from_the_whole_texts_of_all_training_documents(docs):
+    body = docs("xjxj " + "a b " * 3000 + "zqzq", "c " * 10, None, ids=[1, 2, 3]).select("doc_id", "text").withColumn("held_out", lm._held_out(lm.F.col("doc_id")))
+    model, _ = lm.fit(body, lm.counts(body).cache())
+    passes = max(1, min(lm.PASSES, lm.AMPLE // model.n))
+    assert model.n >= 6000 and model.learned == passes * model.n
+    pair = lambda p: model.letters[p[0] << 8 | p[1]].max()
+    assert pair(b"xj") > pair(b"~~") and pair(b"zq") > pair(b"~~")  # from both ends of a long text
