@@ -166,3 +166,8 @@ def test_lm_learns_from_the_whole_texts_of_all_training_documents(docs):
     assert model.n >= 6000 and model.learned == passes * model.n
     pair = lambda p: model.letters[p[0] << 8 | p[1]].max()
     assert pair(b"xj") > pair(b"~~") and pair(b"zq") > pair(b"~~")  # from both ends of a long text
+
+
+def test_lm_held_out(spark):
+    held = [r for r in lm.score(table(spark, MID, "documents")).collect() if r.held_out]
+    assert sum(r.score for r in held) / sum(r.n_tokens for r in held) > -3.65
