@@ -132,11 +132,13 @@ def vector_search(entries: DataFrame, query: list[float], top_k: int = 10, key:
     return near.orderBy(F.desc("score"), F.desc("cos"), key).limit(top_k)
 
 
-def text_search(entries: DataFrame, query: list[str], top_k: int = 10, key: str = "id", keep: Column | None = None, min_score: float | None = None) -> DataFrame:
-    """All entries with a query token, scored by min-max of BM25 over them, then the best top_k."""
+def text_search(entries: DataFrame, query: list[str], top_k: int | None = 10, key: str = "id", keep: Column | None = None, min_score: float | None = None) -> DataFrame:
+    """All entries with a query token, scored by min-max of BM25 over them, then the best top_k; None keeps them all, in no order."""
     matched = min_max(text_scores(entries, query, keep).where("bm25 > 0"), "bm25").withColumn("reason", F.lit("text match (bm25)"))
     if min_score is not None:
         matched = matched.where(F.col("score") >= min_score)
+    if top_k is None:
+        return matched
     return matched.orderBy(F.desc("score"), F.desc("bm25"), key).limit(top_k)
 
 
@@ -159,12 +161,18 @@ def ranks_of(pool: DataFrame, few: list, raw: str, key: str) -> dict:
     return out
 
 
-def hybrid_search(entries: DataFrame, query: list[str], vector: list[float], top_k: int = 10, key: str = "id", keep: Column | None = None, stats: CorpusStats | None = None) -> DataFrame:
+def ranked(pool: DataFrame, raw: str, key: str, rank: str) -> DataFrame:
+    """(key, rank) of all rows of pool with a raw value, by descending raw and then key; sorted in ranges and numbered from the ranges' sizes."""
+    row = pool.where(F.col(raw).isNotNull()).orderBy(F.desc(raw), key).select(key).rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1))
+    return pool.sparkSession.createDataFrame(row, f"{key} {dict(pool.dtypes)[key]}, {rank} long")
+
+
+def hybrid_search(entries: DataFrame, query: list[str], vector: list[float], top_k: int = 10, key: str = "id", keep: Column | None = None, stats: CorpusStats | None = None, whole: bool = False) -> DataFrame:
     """Reciprocal rank fusion of the nearest fetch_k entries by cosine and all entries with a query token.
 
     A null cosine and a BM25 of 0 are unranked: one more than the number of candidates. A row beyond place 2 * top_k + 60 of both lists scores
     less than 1 / (60 + top_k), which the first top_k of a list reach, so only the heads of the two lists (a bounded number of rows) are
-    fused, with their exact ranks among all candidates.
+    fused, with their exact ranks among all candidates. With whole, every candidate comes back, in no order.
     """
     scored = vector_scores(text_scores(entries, query, keep, stats=stats), vector).select(key, "cos", "bm25").persist()
     try:
@@ -175,6 +183,12 @@ def hybrid_search(entries: DataFrame, query: list[str], vector: list[float], top
         else:
             among = F.coalesce((F.col("cos") > last.cos) | ((F.col("cos") == last.cos) & (F.col(key) <= last[key])), F.lit(False))
         pool = scored.where(among | (F.col("bm25") > 0)).withColumn("hit", F.when(F.col("bm25") > 0, F.col("bm25")))
+        if whole:
+            none = F.lit(pool.count() + 1)
+            out = pool.drop("hit").join(ranked(pool, "cos", key, "vector_rank"), key, "left").join(ranked(pool, "hit", key, "text_rank"), key, "left")
+            out = out.withColumns({c: F.coalesce(c, none) for c in ("vector_rank", "text_rank")})
+            score = 1.0 / (RRF + F.col("vector_rank")) + 1.0 / (RRF + F.col("text_rank"))
+            return out.withColumns({"score": score, "reason": F.format_string("hybrid/rrf(vector_rank=%d, text_rank=%d)", "vector_rank", "text_rank")})
         depth = 2 * top_k + RRF
         heads = [pool.where(F.col(c).isNotNull()).orderBy(F.desc(c), key).limit(depth).collect() for c in ("cos", "hit")]
         few = list({r[key]: r for rows in heads for r in rows}.values())
@@ -242,3 +256,26 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.5, key: str = "id") ->
 
     kinds = dict(candidates.dtypes)
     return candidates.select(key, "score", "embedding", F.lit(1).alias("one_")).groupBy("one_").applyInPandas(fold, f"{key} {kinds[key]}, score double, place long")
+
+
+def mmr_of_all(candidates: DataFrame, k: int, weight: float = 0.5, key: str = "id") -> DataFrame:
+    """As mmr, over any number of candidates: each pick is one pass over them, and only the pick reaches the driver."""
+    lam = min(1.0, max(0.0, weight))
+    pool = candidates.select(key, "score", "embedding").persist()
+    picked, seen = [], []
+    try:
+        while len(picked) < k:
+            alike = [F.coalesce(cosine(F.col("embedding"), literal(v)), F.lit(0.0)) for v in seen]
+            near = F.greatest(F.lit(0.0), F.lit(0.0), *alike)
+            comparable = F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
+            value = lam * F.col("score") - (1 - lam) * F.when(comparable, near).otherwise(1.0 if seen else 0.0)
+            best = pool.where(~F.col(key).isin([r[key] for r in picked])).orderBy(F.desc(value), F.desc("score"), key).first()
+            if best is None:
+                break
+            picked.append(best)
+            if best.embedding and any(best.embedding):
+                seen.append([float(x) for x in best.embedding])
+    finally:
+        pool.unpersist()
+    rows = [(r[key], float(r.score), i + 1) for i, r in enumerate(picked)]
+    return candidates.sparkSession.createDataFrame(rows, f"{key} {dict(candidates.dtypes)[key]}, score double, place long")

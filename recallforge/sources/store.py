@@ -391,15 +391,16 @@ class MemoryStore:
         words = T.query_tokens(r.query)
         vector = r.embedding or embed(r.query if how == "vector" else " ".join(w for w in _ordered(r.query)))
         keep = Filter(r.tenant, r.collection, r.user, r.memory_type, r.kind, r.metadata, r.as_of if r.as_of is not None else self.now(), r.include_superseded).column()
-        depth = 10_000 if r.min_score is not None or r.dedup_chunks else retrieve.fetch_k(r.top_k)
-        # All that may still be ranked after weighting; confidence changes a score at most 1.2 : 0.8.
-        depth = max(depth, 3 * r.top_k + 200)
         if how == "vector":
             hits = retrieve.vector_search(entries, vector, retrieve.fetch_k(r.top_k), "key", keep)
         elif how == "text":
-            hits = retrieve.text_search(entries, words, depth, "key", keep)
+            hits = retrieve.text_search(entries, words, None, "key", keep)  # min-max scores lie close: any match may come first after weighting
+        elif r.dedup_chunks or r.mmr:
+            hits = entries.join(retrieve.hybrid_search(entries, words, vector, 10_000 if r.dedup_chunks else max(retrieve.fetch_k(r.top_k), 3 * r.top_k + 200), "key", keep, whole=True), "key")
         else:
-            found = retrieve.hybrid_search(entries, words, vector, depth, "key", keep)
+            # All that may still be ranked after weighting: the row at place p scores at most 4 / (120 + p), the first top_k at least 1 / (60 + top_k),
+            # and confidence changes a score at most 1.2 : 0.8.
+            found = retrieve.hybrid_search(entries, words, vector, max(10_000 if r.min_score is not None else retrieve.fetch_k(r.top_k), 6 * r.top_k + 241), "key", keep)
             hits = entries.join(F.broadcast(found), "key")  # a bounded number of hits
         hits = hits.withColumn("score", retrieve.confidence_weight(F.col("score"), F.col("kind"), F.col("confidence")))
         if r.min_score is not None:
@@ -409,7 +410,8 @@ class MemoryStore:
         hits = hits.withColumn("matched_terms", retrieve.matched_terms(F.col("text"), words) if how != "vector" else F.array().cast("array<string>"))
         order = Window.orderBy(F.desc("score"), "id", "key")
         if r.mmr:
-            picked = retrieve.mmr(hits, r.top_k, r.mmr_lambda, "key").select("key", F.col("place").alias("rank"))
+            pick = retrieve.mmr if how == "vector" else retrieve.mmr_of_all
+            picked = pick(hits, r.top_k, r.mmr_lambda, "key").select("key", F.col("place").alias("rank"))
             return hits.join(F.broadcast(picked), "key").orderBy("rank")
         best = hits.orderBy(F.desc("score"), "id", "key").limit(r.top_k)
         return best.withColumn("rank", F.row_number().over(order)).orderBy("rank")

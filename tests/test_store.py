@@ -123,3 +123,30 @@ def test_blends_keep_every_hit(spark, tmp_path):
     assert {i["id"] for i in db.build_context("t", "oracle", 500)["items"]} == {"a", "b"}
     with pytest.raises(ValueError):
         MemoryStore(spark, str(tmp_path / "x"), Config(decay_weight=2))
+
+
+def test_every_match_is_weighted_deduplicated_and_diversified(db):
+    db.remember_many("acme", "support", [{"key": f"m{i:04}", "text": "oracle listener", "confidence": 0.0, "embedding": [1.0, 0.0]} for i in range(300)] + [{"key": "z", "text": "oracle listener", "confidence": 1.0, "embedding": [0.0, 1.0]}])
+    assert ids(db.search(Recall("acme", "oracle", mode="text", top_k=2))) == ["z", "m0000"]
+    assert ids(db.search(Recall("acme", "oracle", mode="text", top_k=2, dedup_chunks=True))) == ["z", "m0000"]
+    assert ids(db.search(Recall("acme", "oracle", mode="text", top_k=2, mmr=True))) == ["z", "m0000"]
+    far = ids(db.search(Recall("acme", "oracle", top_k=2, mmr=True, mmr_lambda=0.01, embedding=[1.0, 0.0])))
+    assert far == ["m0000", "z"]  # the unlike one, behind 300 better ranked in both lists
+
+
+def test_all_hybrid_candidates_have_the_ranks_of_the_first(spark):
+    from recallforge.operators import retrieve
+
+    d = spark.createDataFrame([(i, "oracle " * (i % 7) + "x", [1.0, i / 50]) for i in range(100)], "id long, text string, embedding array<double>")
+    few, every = (retrieve.hybrid_search(d, ["oracle"], [1.0, 0.3], 10, whole=w).collect() for w in (False, True))
+    every = sorted(every, key=lambda r: (-r.score, r.id))
+    cols = ("id", "vector_rank", "text_rank", "score", "reason")
+    assert [[r[c] for c in cols] for r in few] == [[r[c] for c in cols] for r in every[:10]] and len(every) > 80
+
+
+def test_mmr_of_all_picks_as_mmr(spark):
+    from recallforge.operators import retrieve
+
+    d = spark.createDataFrame([(i, 1 / (1 + i), [None, [0.0, 0.0], [1.0, i / 9], [i / 9, 1.0]][i % 4]) for i in range(30)], "id long, score double, embedding array<double>")
+    one, other = (sorted((r.place, r.id) for r in f(d, 8, 0.4).collect()) for f in (retrieve.mmr, retrieve.mmr_of_all))
+    assert one == other
