@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from recallforge.llm import langid, mixing, packing, quality, simhash
 from recallforge.llm.common import cut, free_name, scratch, table
 
-#: A document whose likeliest language is less likely than so many times chance (one in the number of languages) is rejected, as is one without any letter.
-OVER_CHANCE = 1.2
+#: A text of fewer than SHORT bytes (one window of the classifier) is rejected if its likeliest language is less likely than OVER_CHANCE times chance (one
+#: in the number of languages); a longer one has the evidence, and is rejected below one half, or a third of the way from chance to certainty if that is more.
+OVER_CHANCE, SHORT = 1.2, 256
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +22,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; rejected are those without a letter and those hardly above chance: a short clean text may be in doubt and stays."""
+    """Documents whose language is recognised; rejected are those without a letter, long ones in doubt and short ones hardly above chance.
+
+    With a single learned language there is nothing to be in doubt about, and only texts without a letter are rejected.
+    """
     lang, score = free_name(docs, "_lang"), free_name(docs, "_score")
     net = langid.fit(docs)
-    floor = min(0.5, OVER_CHANCE / len(net.langs)) if net else 0.0
+    chance = 1 / len(net.langs) if net else 1.0
+    loose, strict = (min(0.5, OVER_CHANCE * chance), max(0.5, chance + (1 - chance) / 3)) if chance < 1 else (0.0, 0.0)
+    floor = F.when(F.octet_length("text") < SHORT, loose).otherwise(strict)
     named = langid.label(docs, net, lang, score)
     return named.where((F.col(lang) != langid.UND) & (F.col(score) >= floor)).drop(lang, score)
 

@@ -30,6 +30,20 @@ def test_one_of_each_with_nulls_and_repeats(docs, spark):
     assert got.columns == d.columns and sorted(str(r.doc_id) for r in got.collect()) == ["1", "9", "None"]
 
 
+def test_long_texts_in_doubt_are_rejected_and_short_ones_stay(spark, monkeypatch):
+    import random
+
+    docs, r = table(spark, SMALL, "documents"), random.Random(1)
+    junk = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") if r.random() > 0.15 else " " for _ in range(n)) for n in (30, 100, 300, 1000, 3000, 10_000)]
+    extra = spark.createDataFrame([(10_000 + i, t, None, "src0", len(t)) for i, t in enumerate(junk)], docs.schema)
+    net = cp.langid.fit(docs)
+    monkeypatch.setattr(cp.langid, "fit", lambda d: net)
+    score = cp.langid.predict(net, [t.encode() for t in junk])[1]
+    got = {r.doc_id for r in cp.keep_language(spark, extra, SMALL).collect()}
+    assert got == {10_000 + i for i, t in enumerate(junk) if score[i] >= (0.5 if len(t) >= cp.SHORT else 0.3)}
+    assert 10_000 in got and 10_004 not in got and 10_005 not in got
+
+
 def test_run(spark):
     got = cp.run(spark, SMALL).collect()
     assert got and {"doc_id", "sequence_id", "offset"} <= set(got[0].asDict())
