@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,18 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+@cache
+def _own_dir(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="recallforge-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error on a cluster."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
-        got = "file://" + tempfile.mkdtemp(prefix="recallforge-")
-        spark.conf.set("spark.checkpoint.dir", got)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        got = _own_dir(spark.sparkContext.applicationId)
     return got.rstrip("/")
 
 
@@ -49,6 +56,28 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: A key is hot when it holds more than one in HOT_SHARE of all rows (and more than HOT_ROWS), so there are fewer than HOT_SHARE hot keys.
+HOT_SHARE, HOT_ROWS = 500, 500
+
+
+def hot_keys(counted: DataFrame, key: str, total: int, n: str = "n") -> list:
+    """The keys of counted (key, n) that hold a large share of about `total` rows: fewer than HOT_SHARE of them, whatever the input."""
+    if total <= HOT_ROWS:  # none can
+        return []
+    return [r[0] for r in counted.where(F.col(n) > max(HOT_ROWS, total // HOT_SHARE)).select(key).collect()]
+
+
+def join_hot(rows: DataFrame, one: DataFrame, on: list[str], hot: list) -> DataFrame:
+    """rows.join(one, on), where one has each key once and `hot` lists keys (values of on[0]) that hold many rows.
+
+    The rows of hot keys meet a broadcast of the few rows of `one` for them, so they stay where they are; the others are shuffled. Rows with a null key are dropped.
+    """
+    if not hot:
+        return rows.join(one, on)
+    is_hot = F.col(on[0]).isin(hot)
+    return rows.where(~is_hot).join(one, on).union(rows.where(is_hot).join(F.broadcast(one.where(is_hot)), on))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
