@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from recallforge.llm import embedding_dedup, topk
+from recallforge.llm import embedding_dedup, queries, topk
 
 SCHEMA = "vec_id long, embedding array<float>, node string, row string, key string"
 
@@ -87,14 +87,19 @@ def test_embedding_edges(spark):
     assert got == [("4", 2, "4"), ("4", 2, "4"), ("None", 0, "None"), ("None", 2, "4")]
 
 
-def brute_top(rows, k=5, every=50):
-    good = [(i, n, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for n, (i, v) in enumerate(rows) if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+def top_doubles(spark, rows):
+    return sorted((tuple(r) for r in topk.top(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+
+
+def brute_top(rows, k=5, every=50, single=True):
+    kind = np.float32 if single else np.float64
+    good = [(i, n, [int(np.floor(256 * float(kind(x)))) for x in v]) for n, (i, v) in enumerate(rows) if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for i, n, v in good:
         if i is None or i % every:
             continue
-        scored = sorted((-sum(a * b for a, b in zip(v, w)), (j is None, j), j) for j, m, w in good if m != n)
-        out += [(i, place + 1, j, min(-s, 2**63 - 1)) for place, (s, _, j) in enumerate(scored[:k])]
+        scored = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, w)))), (j is None, j), j) for j, m, w in good if m != n)
+        out += [(i, place + 1, j, -s) for place, (s, _, j) in enumerate(scored[:k])]
     return sorted(out, key=str)
 
 
@@ -105,7 +110,9 @@ def top(spark, rows, **k):
 @pytest.mark.parametrize("block", [8192, 40])
 def test_top_k(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "BLOCK", block)
-    monkeypatch.setattr(topk, "GROUP", 2 if block == 40 else 2048)
+    if block == 40:  # groups of about two queries, slices of a few candidates
+        monkeypatch.setattr(topk, "GROUP", 256)
+        monkeypatch.setattr(topk, "SLICE", 7)
     r = np.random.default_rng(5)
     rows = [(i, (r.normal(size=16) * r.choice([0.1, 1, 10])).tolist()) for i in range(400)]
     rows += [(400 + i, rows[7][1]) for i in range(9)]  # ties
@@ -117,4 +124,31 @@ def test_top_k_edges(spark):
     rows = [(0, [1.0, 2.0]), (1, [3.0, 1.0])]
     assert top(spark, rows) == [(0, 1, 1, 256 * 256 * 5)]
     assert topk.top(frame(spark, rows).where("false")).collect() == []
+    huge = [(50, [1e300, -1e300]), (1, [1e300, 1e299]), (2, [-1e300, 1e300]), (3, [1e10, 1e10]), (100, [1.0, 2.0]), (4, [3e9, 3e9])]
+    got = top_doubles(spark, huge)
+    assert got == brute_top([(i, v) for i, v in huge], single=False)
     assert top(spark, [(50, [1e9, 1e9]), (1, [1e9, -1e9]), (2, [1e9, 1e8])]) == brute_top([(50, [1e9, 1e9]), (1, [1e9, -1e9]), (2, [1e9, 1e8])])
+
+
+def test_short_vectors_are_never_searched(spark, monkeypatch):
+    """Once a group's thresholds are out of reach, shorter candidates are left alone: one wave of several is read."""
+    monkeypatch.setattr(topk, "BLOCK", 20)
+    waves, search = [], topk._search
+    monkeypatch.setattr(topk, "_search", lambda wave, group: (waves.append(len(group.row)), search(wave, group))[1])
+    r = np.random.default_rng(9)
+    rows = [(i, (np.ones(8) * 50 + r.normal(size=8)).tolist()) for i in range(20)] + [(i, (r.normal(size=8) * 0.1).tolist()) for i in range(20, 400)]
+    got = top(spark, rows)
+    assert got == brute_top(rows) and waves[0] == 8 and waves[1:] and max(waves[1:]) < 8
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_same_as_sql(spark, name):
+    import duckdb
+
+    for sf in ("sf0.01", "sf0.1"):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/{sf}/embeddings.parquet'")
+        want = con.execute(queries.ORACLE[name]).df()
+        got = queries.QUERIES[name](spark, f"/root/testdata/{sf}").toPandas()
+        assert (got.dtypes[want.columns] == want.dtypes).all()
+        assert sorted(got[want.columns].itertuples(index=False, name=None)) == sorted(want.itertuples(index=False, name=None))
