@@ -12,36 +12,49 @@ fit into R words; those of the next few whose sizes fill the gap best close the
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallforge.llm.common import WORD, cut, free_name
+from recallforge.llm.common import WORD, cut, free_name, hot_keys, join_hot
 
 WEIGHTS, CAP, SEED = (1, 2, 3), 3, 20240229
 #: x halves when the length grows 2^TEMPER-fold; ranks are first laid out in so many slices of each source.
-TEMPER, SLICES = 8, 4096
-#: The last BACK documents that fit and the SPARE behind them are those among which the fullest end of the sample is sought;
-#: and the widest gap (in words) for that.
-BACK, SPARE, MAX_GAP = 8, 64, 1 << 22
-
-
-def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> dict[str | None, float]:
-    """Target words of each source, given its words; sources by code point, null last."""
-    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    total, out, free = float(sum(sizes.values())), {}, list(order)
-    while free:
-        left = total - sum(out.values())
-        share = left / sum(weight[s] for s in free)
-        over = [s for s in free if weight[s] * share > cap * sizes[s]]
-        if not over:
-            return out | {s: weight[s] * share for s in free}
-        out |= {s: float(cap * sizes[s]) for s in over}
-        free = [s for s in free if s not in out]
-    return out
+TEMPER, SLICES = 8, 16384
+#: The last BACK documents that fit and the SPARE behind them are those among which the fullest end of the sample is sought. Their
+#: sizes are counted in units of a GRAIN-th of the gap that they fill (of one word, in a gap of up to GRAIN words).
+BACK, SPARE, GRAIN = 8, 64, 1 << 20
+
+
+def numbered(sources: DataFrame) -> DataFrame:
+    """sources with a column nth: each one's place by code point, from 0, null last. Sorted in ranges and numbered from the ranges' sizes."""
+    order = F.asc_nulls_last("source")
+    spread = cut(sources.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "sources")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
+    first = spread.groupBy("part").agg(F.count("*").alias("n_")).select("part", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("first"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return spread.withColumn("nth", nth).join(first, "part").withColumn("nth", F.col("nth") + F.col("first")).drop("part", "first")
+
+
+def with_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """sources (source, size in words) with the target words of each.
+
+    A source gets its weight times one level, but at most cap times its size. Each pass over the sources raises the level by what is cut off,
+    until none more is cut off; a source that is cut off stays so, as the level only rises.
+    """
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights) + 1).cast("int"))
+    held = cut(numbered(sources).withColumn("weight", weight).drop("nth"), "weights")
+    room = cap * F.col("size")
+    total, level, over = held.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], 0.0, None
+    while True:
+        above = F.col("weight") * F.lit(level) > room
+        free, taken, n = held.agg(F.sum(F.when(~above, F.col("weight"))), F.coalesce(F.sum(F.when(above, room)), F.lit(0)), F.count(F.when(above, 1))).first()
+        if n == over or not free:
+            return held.withColumn("target", F.when(above, room).otherwise(F.col("weight") * F.lit(level)).cast("double")).drop("weight")
+        level, over = (total - taken) / free, n
 
 
 def scale(classes: list[tuple[int, float]], room: float) -> float:
@@ -64,14 +77,15 @@ def close(f: pd.DataFrame) -> pd.DataFrame:
     sizes = f["size"].to_numpy(np.int64)
     room = float(f["room"].iloc[0]) - float(f["below"].iloc[0])
     fits = int(np.searchsorted(np.cumsum(sizes), room, side="right"))
-    first = max(0, fits - BACK) if room - sizes[: max(0, fits - BACK)].sum() <= MAX_GAP else fits
+    first = max(0, fits - BACK)
     gap = max(0, int(round(room - sizes[:first].sum())))
-    some, reach, steps = sizes[first : fits + SPARE].tolist(), 1, []
-    limit = (1 << (2 * gap + 1)) - 1 if gap <= MAX_GAP else 0
-    for n in some if limit else []:
+    unit = max(1, -(-gap // GRAIN))
+    gap, some = round(gap / unit), np.rint(sizes[first : fits + SPARE] / unit).astype(np.int64).tolist()
+    reach, steps, limit = 1, [], (1 << (2 * gap + 1)) - 1
+    for n in some:
         steps.append(reach)
-        reach |= (reach << n) & limit
-    low = (reach & ((1 << (gap + 1)) - 1)).bit_length() - 1 if limit else 0
+        reach |= (reach << n) & limit if n <= 2 * gap else 0
+    low = (reach & ((1 << (gap + 1)) - 1)).bit_length() - 1
     above = reach >> (gap + 1)
     high = gap + 1 + (above & -above).bit_length() - 1 if above else 0
     at, chosen = high if above and high - gap < gap - low else low, []
@@ -90,49 +104,52 @@ def copies(docs: DataFrame, row: str | None = None) -> DataFrame:
     text and source alone, so reruns agree. row: a column that numbers the rows, if docs has one.
     """
     number = F.col(row) if row else F.monotonically_increasing_id()
-    body = docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text", F.lit(SEED)).alias("h"))
-    held = cut(body, "sizes")
-    level = F.floor(F.log2(F.greatest("size", F.lit(1)))).cast("int")
-    # A row for each source and length class, 64 classes at most: the driver sees the list of sources, not documents.
-    rows = held.groupBy("source", level.alias("level")).agg(F.sum("size").alias("words")).collect()
-    sizes: dict[str | None, int] = {}
-    classes: dict[str | None, list[tuple[int, float]]] = {}
-    for r in rows:
-        sizes[r.source] = sizes.get(r.source, 0) + r.words
-        classes.setdefault(r.source, []).append((r.level, float(r.words)))
-    goal = targets(sizes)
-    plan = []
-    for s, n in sizes.items():
-        whole = min(CAP, math.floor(goal[s] / n + 1e-12)) if n else 0
-        room = max(0.0, goal[s] - whole * n) if whole < CAP else 0.0
-        plan.append((s, n, float(goal[s]), whole, room, min(scale(classes[s], room), 1e300) if room else 0.0))
-    plan = docs.sparkSession.createDataFrame(plan, "s string, source_size long, target double, whole int, room double, k double")
+    source = F.col("source").cast("string")
+    key = F.when(source.isNull(), "-").otherwise(F.concat(F.lit("+"), source))  # never null, so that sources are joined by it
+    body = docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), key.alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text", F.lit(SEED)).alias("h"))
+    held = cut(body.withColumn("level", F.floor(F.log2(F.greatest("size", F.lit(1)))).cast("int")), "sizes")
+    # A row for each source, with the words of its length classes, 64 at most. Sources may be as many as hosts, so none of this reaches the driver.
+    classes = held.groupBy("key", "level").agg(F.first("source").alias("source"), F.sum("size").alias("words"), F.count("*").alias("n"))
+    sources = classes.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("size"), F.sum("n").alias("n"), F.collect_list(F.struct("level", "words")).alias("classes"))
+    aimed = with_targets(sources)
+
+    def calibrate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for target, n, some in zip(f["target"], f["size"], f["classes"]):
+                whole = min(CAP, math.floor(target / n + 1e-12)) if n else 0
+                room = max(0.0, target - whole * n) if whole < CAP else 0.0
+                out.append((whole, room, min(scale([(c["level"], float(c["words"])) for c in some], room), 1e300) if room else 0.0))
+            yield f[["key", "size", "n", "target"]].rename(columns={"size": "source_size"}).assign(**{c: [o[i] for o in out] for i, c in enumerate(("whole", "room", "k"))})
+
+    plan = cut(aimed.select("key", "size", "n", "target", "classes").mapInPandas(calibrate, "key string, source_size long, n long, target double, whole int, room double, k double"), "plan")
+    hot = hot_keys(plan, "key", plan.agg(F.sum("n")).first()[0] or 0)
 
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", "h", "source", F.lit(SEED)), 11) + 0.5) / float(1 << 53)
     p = F.least(F.lit(1.0), F.col("k") * F.pow(F.lit(2.0), -F.col("level") / TEMPER))
     q = F.when(F.col("p") >= 1, 0.0).otherwise(F.col("u") / (1 - F.col("u")) * ((1 - F.col("p")) / F.col("p")))
-    joined = held.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("level", level)
+    joined = join_hot(held, plan.drop("n"), ["key"], hot)
     drawn = joined.withColumn("u", u).withColumn("p", p).withColumn("q", F.when((F.col("room") > 0) & (F.col("size") > 0), q))
-    drawn = cut(drawn.withColumn("slice", F.floor(SLICES * (F.col("q") / (1 + F.col("q")))).cast("int")).drop("p", "level"), "drawn")
+    drawn = cut(drawn.withColumn("slice", F.floor(SLICES * (F.col("q") / (1 + F.col("q")))).cast("int")).drop("p", "level", "source"), "drawn")
     # The slice of each source in which its words pass `room`: what lies well below is taken whole, and only
     # this one and the next ones on either side (until they hold BACK and SPARE documents) are sorted. Sampling is calibrated to q = 1, where a slice holds about 1 / SLICES of the source.
     ranked = drawn.where("q IS NOT NULL")
-    by_slice = Window.partitionBy("source").orderBy("slice")
-    sums = ranked.groupBy("source", "slice").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.first("room").alias("room"))
+    by_slice = Window.partitionBy("key").orderBy("slice")
+    sums = ranked.groupBy("key", "slice").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.first("room").alias("room"))
     sums = cut(sums.withColumn("upto", F.sum("words").over(by_slice)), "slices")
-    edge = sums.where("upto > room").groupBy("source").agg(F.min("slice").alias("last"), F.min_by(F.col("upto") - F.col("words"), "slice").alias("below"))
-    edge = edge.select(F.col("source").alias("s"), "last", "below")
-    around = sums.join(edge, F.col("source").eqNullSafe(F.col("s")))
+    edge = sums.where("upto > room").groupBy("key").agg(F.min("slice").alias("last"))
+    around = sums.join(edge, "key")
     after = around.where("slice >= last").withColumn("spare", F.sum("n").over(by_slice) - F.col("n")).where(F.col("spare") < SPARE)
-    back = around.where("slice < last").withColumn("spare", F.sum("n").over(Window.partitionBy("source").orderBy(F.desc("slice"))) - F.col("n")).where(F.col("spare") < BACK)
-    span = after.select("s", "slice", "upto", "words").union(back.select("s", "slice", "upto", "words"))
-    span = span.groupBy("s").agg(F.min("slice").alias("last"), F.max("slice").alias("end"), F.min(F.col("upto") - F.col("words")).alias("below"))
-    with_edge = drawn.join(F.broadcast(span) if len(sizes) < 10_000 else span, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    near = with_edge.where("slice BETWEEN last AND end").select("row", "source", "size", "room", "below", "q", "u", "h", "doc_id")
-    inside = cut(near.groupBy("source").applyInPandas(close, "row long"), "inside").withColumn("in", F.lit(1))
+    back = around.where("slice < last").withColumn("spare", F.sum("n").over(Window.partitionBy("key").orderBy(F.desc("slice"))) - F.col("n")).where(F.col("spare") < BACK)
+    span = after.select("key", "slice", "upto", "words").union(back.select("key", "slice", "upto", "words"))
+    span = span.groupBy("key").agg(F.min("slice").alias("last"), F.max("slice").alias("end"), F.min(F.col("upto") - F.col("words")).alias("below"))
+    span = cut(plan.select("key").join(span, "key", "left"), "span")
+    with_edge = join_hot(drawn, span, ["key"], hot)
+    near = with_edge.where("slice BETWEEN last AND end").select("row", "key", "size", "room", "below", "q", "u", "h", "doc_id")
+    inside = cut(near.groupBy("key").applyInPandas(close, "row long"), "inside").withColumn("in", F.lit(1))
     picked = with_edge.join(inside, "row", "left")
     extra = F.when(F.col("q").isNull(), 0).when(F.col("last").isNull() | (F.col("slice") < F.col("last")), 1).otherwise(F.coalesce("in", F.lit(0)))
-    return picked.select("row", "doc_id", "source", "size", "source_size", "target", (F.col("whole") + extra).cast("int").alias("copies"))
+    return picked.select("row", "doc_id", "size", "source_size", "target", (F.col("whole") + extra).cast("int").alias("copies"))
 
 
 def mix(docs: DataFrame) -> DataFrame:

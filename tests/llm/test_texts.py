@@ -118,11 +118,29 @@ def test_token_files(spark, docs, monkeypatch):
     assert {r.start + r.n_tokens for r in got} == {r.start for r in got} - {0} | {10}
 
 
-def test_targets():
-    assert mixing.targets({"a": 10, "b": 10, "c": 10}) == {"a": 5, "b": 10, "c": 15}
-    got = mixing.targets({None: 1, "a": 100, "b": 100})
-    assert got[None] == 3 and abs(got["a"] - 198 / 3) < 1e-9 and abs(got["b"] - 396 / 3) < 1e-9
-    assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0}
+def targets(sizes, weights=(1, 2, 3), cap=3):
+    """Target words of each source, one source at a time; sources by code point, null last."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight, out, free = {s: weights[i % 3] for i, s in enumerate(order)}, {}, list(order)
+    while free:
+        share = (sum(sizes.values()) - sum(out.values())) / sum(weight[s] for s in free)
+        over = {s: float(cap * sizes[s]) for s in free if weight[s] * share > cap * sizes[s]}
+        if not over:
+            return out | {s: weight[s] * share for s in free}
+        out |= over
+        free = [s for s in free if s not in out]
+    return out
+
+
+def test_targets(spark):
+    r = random.Random(5)
+    cases = [{"a": 10, "b": 10, "c": 10}, {None: 1, "a": 100, "b": 100}, {"a": 0}, {"x": 7, None: 0, "é": 5000, "z": 1}]
+    cases += [{f"host{r.random()}": int(r.paretovariate(0.5)) for _ in range(500)}]
+    for sizes in cases:
+        df = spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(3)
+        got, want = {x.source: x.target for x in mixing.with_targets(df).collect()}, targets(sizes)
+        assert set(got) == set(want) and all(abs(got[s] - want[s]) <= 1e-9 * max(1, want[s]) for s in want)
+    assert mixing.with_targets(df.where("false")).collect() == []
 
 
 def test_mixing(spark):
@@ -138,7 +156,7 @@ def test_mixing(spark):
             by[source][1] += r.taken
             by[source][2] = r.target
             assert r.source_size == sum(m for s, m in words.values() if s == source) if r.doc_id < 5 else True
-        want = mixing.targets({s: v[0] for s, v in by.items()})
+        want = targets({s: v[0] for s, v in by.items()})
         for s, (n, taken, target) in by.items():
             assert abs(target - want[s]) < 1e-6 * max(1, target) and abs(taken - target) <= near * target
         assert sorted(tuple(r) for r in mixing.mix(d.repartition(5)).collect()) == sorted(map(tuple, got))
@@ -164,10 +182,51 @@ def test_closing_fills_the_gap_best():
         assert abs(f["size"][sorted(got)].sum() - base - gap) == min(abs(x - gap) for x in sums if x <= 2 * gap)
 
 
+def test_closing_over_wide_gaps():
+    import pandas as pd
+
+    f = pd.DataFrame({"row": range(40), "size": [10**9 + 7**i % 10**8 for i in range(40)], "room": 2.5e10, "below": 0, "q": np.arange(40) / 40, "u": 0.5, "h": 1, "doc_id": range(40)})
+    got = f["size"][sorted(mixing.close(f)["row"])].sum()
+    assert abs(got - 2.5e10) < 72 * 2.5e10 / mixing.GRAIN
+
+
+def test_the_draw_follows_pareto_ranks(spark):
+    """Certain copies and ranks of every document, recomputed from the hashes one by one; the sample is the head of the ranks but for its end."""
+    import math
+
+    d = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "source")
+    hashed = {x.doc_id: x for x in d.selectExpr("doc_id", "source", f"xxhash64(doc_id, xxhash64(text, {mixing.SEED}), source, {mixing.SEED}) AS u", "text").collect()}
+    copies = {x.doc_id: x for x in mixing.copies(d).collect()}
+    goal = targets({s: sum(c["size"] for i, c in copies.items() if hashed[i].source == s) for s in {h.source for h in hashed.values()}})
+    for s in goal:
+        mine = [c for i, c in copies.items() if hashed[i].source == s and c["size"]]
+        n = sum(c["size"] for c in mine)
+        whole = min(3, math.floor(goal[s] / n + 1e-12))
+        room = goal[s] - whole * n
+        assert all(c.copies in (whole, whole + 1) for c in mine)
+        if whole == 3 or room <= 0:
+            continue
+        x = {c.doc_id: 2 ** (-math.floor(math.log2(c["size"])) / mixing.TEMPER) for c in mine}
+        low, high = 0.0, 1e9
+        for _ in range(200):
+            k = (low + high) / 2
+            low, high = (k, high) if sum(c["size"] * min(1, k * x[c.doc_id]) for c in mine) < room else (low, k)
+
+        def rank(c):
+            u, p = (((hashed[c.doc_id].u & (2**64 - 1)) >> 11) + 0.5) / 2**53, min(1, high * x[c.doc_id])
+            return (0.0 if p >= 1 else u / (1 - u) * (1 - p) / p), u
+
+        mine.sort(key=rank)
+        fits = 0
+        while fits < len(mine) and sum(c["size"] for c in mine[: fits + 1]) <= room:
+            fits += 1
+        assert all(c.copies > whole for c in mine[: max(0, fits - mixing.BACK)]) and all(c.copies == whole for c in mine[fits + mixing.SPARE :])
+
+
 def test_inclusion_follows_the_odds(spark):
     rows = [(i, " ".join(["w"] * (1 + i % 64)), "a" if i % 2 else "b") for i in range(6000)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = [r for r in mixing.copies(d).collect() if r.source == "a"]  # weight 1 of 3: two thirds of its words
+    got = [r for r in mixing.copies(d).collect() if r.doc_id % 2]  # source a: weight 1 of 3: two thirds of its words
     share = lambda rs: sum(r.copies for r in rs) / len(rs)
     short, long = [r for r in got if r["size"] < 8], [r for r in got if r["size"] >= 32]
     assert 0.5 < share(long) < share(short) < 1.0
