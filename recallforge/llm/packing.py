@@ -132,5 +132,6 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -
             i = np.searchsorted(edge, length * span + rank, side="right") - 1
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(first[i] + rank - low[i]), pa.array(at[i])], [*b.schema.names[:5], "sequence_id", "offset"])
 
-    ranked = held.join(base, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
+    # The bases grow with the number of tasks, so they are shuffled, by (task, length), and never broadcast.
+    ranked = held.join(base.select("task", "length", "base").hint("shuffle_hash"), ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
     return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
