@@ -143,6 +143,62 @@ def test_scores_on_documents(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_whole_scores_against_a_plain_loop(spark, docs, monkeypatch):
+    """Each token's probability by itself: its class by the state, then its share in the class by softmax or by counts."""
+    monkeypatch.setattr(lm, "LISTED", 35)
+    monkeypatch.setattr(lm, "HEAD", 10)
+    texts = ["the cat sat on the mat. " * 9, "a Dog, and THE cat ran 12 miles; zebra", None, "unseen words qqq zzz1 the", "the dog sat, the end."] * 4
+    d = docs(*(t and f"{t} only{i}" for i, t in enumerate(texts)), ids=range(100, 120))
+    lm_docs = d.select("doc_id", "text").withColumn("held_out", lm._held_out(lm.F.col("doc_id")))
+    model, _ = lm.fit(lm_docs, lm.counts(lm_docs).cache())
+    net, p = model.net, {k: a.astype(float) for k, a in model.net.p.items()}
+    tokens = {r.doc_id: [*lm.words((r.text or "").encode()), lm.END] for r in d.collect()}
+    count = Counter(w for i, ws in tokens.items() if fold(i, 10) for w in ws)
+    kind = {w: int(lm.tail_class([w], model.letters)[0]) for ws in tokens.values() for w in ws if w != lm.END}
+    kind |= {lm.END: 0}
+    heads = {w: model.index[w] for w in count if w in model.index and model.index[w] < model.heads}
+    mass = [0.1 + sum(count[w] + 0.1 for w in count if w not in heads and kind[w] == k) for k in range(lm.TAILS)]
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+
+    def whole(ws):
+        n, h, x, total = lm.HIDDEN, np.zeros(lm.HIDDEN), p["x"][net.begin], 0.0
+        for w in ws:
+            gates = [sigmoid(x[i] + h @ p["u"][:, i]) for i in range(2 * n)]
+            new = [math.tanh(x[2 * n + i] + (np.array(gates[n:]) * h) @ p["v"][:, i]) for i in range(n)]
+            h = np.array([(1 - gates[i]) * h[i] + gates[i] * new[i] for i in range(n)])
+            token = heads.get(w, model.heads + kind[w])
+            cls = net.cls[token] if w in heads else net.heads + kind[w]
+            z = h @ p["c"] + p["cb"]
+            total += z[cls] - math.log(sum(math.exp(v) for v in z))
+            if w in heads:
+                z = [h @ p["o"][cls][:, net.slot[m]] + p["ob"][cls][net.slot[m]] for m in net.members[cls]]
+                total += z[net.slot[token]] - math.log(sum(math.exp(v) for v in z))
+            else:
+                total += math.log((count[w] + 0.1) / mass[kind[w]])
+            x = p["x"][token]
+        return total / math.log(10)
+
+    got = {r.doc_id: r.score for r in lm.score(d).collect()}
+    assert len(heads) == 10 < len(model.index) < len(count) and any(w not in count for ws in tokens.values() for w in ws)
+    assert all(math.isclose(got[i], whole(ws), rel_tol=1e-4, abs_tol=1e-3) for i, ws in tokens.items())
+
+
+def test_a_very_long_text_beside_short_ones_takes_little_memory():
+    import tracemalloc
+
+    net = gradient_net()
+    net.p = {k: a.astype(np.float32) for k, a in net.p.items()}
+    docs = [np.zeros(1_000_000, np.int64)] + [np.zeros(5, np.int64)] * 300
+    tracemalloc.start()
+    seen = np.zeros(len(docs), np.int64)
+    for xs, ys, who in lm.windows(docs, 256, net.begin):
+        seen += np.bincount(who[ys >= 0], minlength=len(docs))
+        assert xs.shape == ys.shape == who.shape and (ys >= 0).any(0).all()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen.tolist() == list(map(len, docs)) and most < 60e6
+
+
 def test_words_beyond_the_list_are_joined_alike(spark, monkeypatch):
     d = table(spark, SMALL, "documents")
     whole = {r.doc_id: r.base_score for r in lm.score(d).collect()}
