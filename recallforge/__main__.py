@@ -54,6 +54,7 @@ def parser() -> argparse.ArgumentParser:
     add("remember", "tenant", "collection", "id", "text", meta=pair, type=str, user=str, confidence=float, embedding=vector, supersedes=[str], contradicts=[str], valid_from=int, valid_until=int)
     add("put-record", "tenant", "collection", "table", "id", "payload", meta=pair)
     add("import-file", "tenant", "collection", "path")
+    add("upload-records", "tenant", "collection", "path")
     add("recall", "tenant", "query", mode=str, top_k=int, collection=str, user=str, type=str, kind=str, meta=pair, as_of=int, min_score=float, include_superseded=bool, dedup_chunks=bool, mmr=bool)
     add("build-context", "tenant", "query", max_tokens=int, collection=str, no_related=bool)
     for kind in _SHOWN:
@@ -105,6 +106,7 @@ def evaluate(db: MemoryStore, path: str) -> dict:
 
 def run(db: MemoryStore, a: argparse.Namespace):
     c, meta = a.command, dict(getattr(a, "meta", []))
+    given_id = None if getattr(a, "id", None) == "-" else getattr(a, "id", None)  # - asks for a new id
     given = lambda **names: {k: v for k, v in names.items() if v is not None}
     if c == "init":
         return {"path": db.path}
@@ -121,13 +123,15 @@ def run(db: MemoryStore, a: argparse.Namespace):
     if c == "create-collection":
         return db.create_collection(a.tenant, a.collection, a.description or "")
     if c == "put-document":
-        return db.store_document(a.tenant, a.collection, a.id, a.text, metadata=meta, **given(valid_from=a.valid_from, valid_until=a.valid_until, content_type=a.content_type))
+        return db.store_document(a.tenant, a.collection, given_id, a.text, metadata=meta, **given(valid_from=a.valid_from, valid_until=a.valid_until, content_type=a.content_type))
     if c == "remember":
-        return db.remember(a.tenant, a.collection, a.id, a.text, metadata=meta, supersedes=a.supersedes, contradicts=a.contradicts, **given(memory_type=a.type, user_id=a.user, confidence=a.confidence, embedding=a.embedding, valid_from=a.valid_from, valid_until=a.valid_until))
+        return db.remember(a.tenant, a.collection, given_id, a.text, metadata=meta, supersedes=a.supersedes, contradicts=a.contradicts, **given(memory_type=a.type, user_id=a.user, confidence=a.confidence, embedding=a.embedding, valid_from=a.valid_from, valid_until=a.valid_until))
     if c == "put-record":
         return db.put_record(a.tenant, a.collection, a.table, a.id, json.loads(a.payload), meta)
     if c == "import-file":
         return {"files": db.import_files(a.tenant, a.collection, a.path)}
+    if c == "upload-records":
+        return {"records": db.upload_records(a.tenant, a.collection, a.path)}
     if c == "recall":
         more = given(mode=a.mode, top_k=a.top_k, collection=a.collection, user=a.user, memory_type=a.type, kind=a.kind, as_of=a.as_of, min_score=a.min_score)
         found = db.search(Recall(a.tenant, a.query, metadata=meta, include_superseded=a.include_superseded, dedup_chunks=a.dedup_chunks, mmr=a.mmr, **more))

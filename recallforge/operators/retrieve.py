@@ -122,14 +122,14 @@ def top(df: DataFrame, k: int, score: str = "score", key: str = "id") -> DataFra
     return df.orderBy(F.desc(score), key).limit(k)
 
 
-def vector_search(entries: DataFrame, query: list[float], top_k: int = 10, key: str = "id", keep: Column | None = None, min_score: float | None = None) -> DataFrame:
-    """The nearest fetch_k entries by cosine, scored by min-max over them, then the best top_k."""
+def vector_search(entries: DataFrame, query: list[float], top_k: int | None = 10, key: str = "id", keep: Column | None = None, min_score: float | None = None, pool: int | None = None) -> DataFrame:
+    """The nearest `pool` entries by cosine (fetch_k(top_k) unless given), scored by min-max over them, then the best top_k; None keeps the whole pool."""
     scored = vector_scores(entries if keep is None else entries.where(keep), query).where("cos IS NOT NULL")
-    near = min_max(scored.orderBy(F.desc("cos"), key).limit(fetch_k(top_k)), "cos")
+    near = min_max(scored.orderBy(F.desc("cos"), key).limit(fetch_k(top_k) if pool is None else pool), "cos")
     near = near.withColumn("reason", F.format_string("vector match (cosine=%.3f)", "cos"))
     if min_score is not None:
         near = near.where(F.col("score") >= min_score)
-    return near.orderBy(F.desc("score"), F.desc("cos"), key).limit(top_k)
+    return near if top_k is None else near.orderBy(F.desc("score"), F.desc("cos"), key).limit(top_k)
 
 
 def text_search(entries: DataFrame, query: list[str], top_k: int | None = 10, key: str = "id", keep: Column | None = None, min_score: float | None = None) -> DataFrame:
@@ -167,8 +167,8 @@ def ranked(pool: DataFrame, raw: str, key: str, rank: str) -> DataFrame:
     return pool.sparkSession.createDataFrame(row, f"{key} {dict(pool.dtypes)[key]}, {rank} long")
 
 
-def hybrid_search(entries: DataFrame, query: list[str], vector: list[float], top_k: int = 10, key: str = "id", keep: Column | None = None, stats: CorpusStats | None = None, whole: bool = False) -> DataFrame:
-    """Reciprocal rank fusion of the nearest fetch_k entries by cosine and all entries with a query token.
+def hybrid_search(entries: DataFrame, query: list[str], vector: list[float], top_k: int = 10, key: str = "id", keep: Column | None = None, stats: CorpusStats | None = None, whole: bool = False, pool: int | None = None) -> DataFrame:
+    """Reciprocal rank fusion of the nearest `pool` entries by cosine (fetch_k(top_k) unless given) and all entries with a query token; the best top_k.
 
     A null cosine and a BM25 of 0 are unranked: one more than the number of candidates. A row beyond place 2 * top_k + 60 of both lists scores
     less than 1 / (60 + top_k), which the first top_k of a list reach, so only the heads of the two lists (a bounded number of rows) are
@@ -176,23 +176,23 @@ def hybrid_search(entries: DataFrame, query: list[str], vector: list[float], top
     """
     scored = vector_scores(text_scores(entries, query, keep, stats=stats), vector).select(key, "cos", "bm25").persist()
     try:
-        near = scored.where("cos IS NOT NULL").orderBy(F.desc("cos"), key).limit(fetch_k(top_k)).collect()
+        near = scored.where("cos IS NOT NULL").orderBy(F.desc("cos"), key).limit(fetch_k(top_k) if pool is None else pool).collect()
         last = near[-1] if near else None
         if last is None:
             among = F.lit(False)
         else:
             among = F.coalesce((F.col("cos") > last.cos) | ((F.col("cos") == last.cos) & (F.col(key) <= last[key])), F.lit(False))
-        pool = scored.where(among | (F.col("bm25") > 0)).withColumn("hit", F.when(F.col("bm25") > 0, F.col("bm25")))
+        pooled = scored.where(among | (F.col("bm25") > 0)).withColumn("hit", F.when(F.col("bm25") > 0, F.col("bm25")))
         if whole:
-            none = F.lit(pool.count() + 1)
-            out = pool.drop("hit").join(ranked(pool, "cos", key, "vector_rank"), key, "left").join(ranked(pool, "hit", key, "text_rank"), key, "left")
+            none = F.lit(pooled.count() + 1)
+            out = pooled.drop("hit").join(ranked(pooled, "cos", key, "vector_rank"), key, "left").join(ranked(pooled, "hit", key, "text_rank"), key, "left")
             out = out.withColumns({c: F.coalesce(c, none) for c in ("vector_rank", "text_rank")})
             score = 1.0 / (RRF + F.col("vector_rank")) + 1.0 / (RRF + F.col("text_rank"))
             return out.withColumns({"score": score, "reason": F.format_string("hybrid/rrf(vector_rank=%d, text_rank=%d)", "vector_rank", "text_rank")})
         depth = 2 * top_k + RRF
-        heads = [pool.where(F.col(c).isNotNull()).orderBy(F.desc(c), key).limit(depth).collect() for c in ("cos", "hit")]
+        heads = [pooled.where(F.col(c).isNotNull()).orderBy(F.desc(c), key).limit(depth).collect() for c in ("cos", "hit")]
         few = list({r[key]: r for rows in heads for r in rows}.values())
-        vector_rank, text_rank, n = ranks_of(pool, few, "cos", key), ranks_of(pool, few, "hit", key), pool.count()
+        vector_rank, text_rank, n = ranks_of(pooled, few, "cos", key), ranks_of(pooled, few, "hit", key), pooled.count()
     finally:
         scored.unpersist()
     rows = []

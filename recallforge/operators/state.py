@@ -1,4 +1,4 @@
-"""State from an operation log: last write wins, tombstones, versions, supersession and valid log prefixes."""
+"""State from an operation log: last write wins, tombstones, versions, supersession, numbered rows and whole log lines."""
 
 from __future__ import annotations
 
@@ -36,19 +36,40 @@ def superseded(writes: DataFrame, tenant: str = "tenant_id", key: str = "id", se
     return marks.join(own, [tenant, key]).where("m.at >= own").select(tenant, key, F.col("m.by").alias("superseded_by"))
 
 
-def valid_prefix(lines: DataFrame, bad: Column, position: str = "pos") -> DataFrame:
-    """Lines before the first bad one. The bound is one number, read once, so that the filter reaches the scan."""
-    first = lines.where(bad).agg(F.min(position)).first()[0]
-    return lines if first is None else lines.where(F.col(position) < first)
+def numbered(df: DataFrame, *order, start: int = 0, column: str = "seq") -> DataFrame:
+    """df with a column that numbers its rows from start on, in the given order. Rows are sorted in ranges and numbered from the ranges' sizes, a row for each range."""
+    placed = df.orderBy(*order).withColumn("at_", F.monotonically_increasing_id())
+    part = F.shiftright("at_", 33)
+    sizes = sorted((r[0], r[1]) for r in placed.groupBy(part).count().collect())
+    first, before = start, []
+    for k, n in sizes:
+        before += [F.lit(k), F.lit(first).cast("long")]
+        first += n
+    offset = F.create_map(*before)[part] if before else F.lit(0).cast("long")
+    return placed.withColumn(column, offset + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))).drop("at_")
 
 
-def checked_lines(lines: DataFrame, text: str = "value") -> tuple[DataFrame, Column]:
-    """Log lines "<crc32 hex>\\t<json>": body added, and the column that tells a bad line. Blank lines are left out; a line without a checksum is an old one."""
-    parts = lines.where(F.trim(text) != "")
-    tagged = F.col(text).rlike("^[0-9a-fA-F]{8}\\t")
+def first_gap(numbers: DataFrame, column: str = "seq") -> int:
+    """The smallest number from 0 on that is not there."""
+    there = numbers.select(F.col(column).cast("long").alias("n")).distinct()
+    ends = there.select((F.col("n") + 1).alias("n")).union(numbers.sparkSession.range(1).select(F.col("id").alias("n"))).join(there, "n", "left_anti")
+    return ends.agg(F.min("n")).first()[0]
+
+
+def checked_lines(lines: DataFrame, text: str = "value") -> DataFrame:
+    """seq and body of the log lines "<seq>\t<crc32 hex>\t<json>" that are whole: the checksum, which covers number and body, matches and the body is JSON."""
+    parts = F.split(F.col(text), "\t", 3)
+    found = lines.select(F.try_to_number(F.get(parts, F.lit(0)), F.lit("9" * 18)).cast("long").alias("seq"), F.get(parts, F.lit(1)).alias("crc"), F.get(parts, F.lit(2)).alias("body"), F.concat_ws("\t", F.get(parts, F.lit(0)), F.get(parts, F.lit(2))).alias("covered"))
+    right = F.lpad(F.lower(F.hex(F.crc32(F.encode("covered", "UTF-8")))), 8, "0") == F.lower("crc")
+    return found.where(F.col("seq").isNotNull() & right & F.try_parse_json("body").isNotNull()).select("seq", "body")
+
+
+def plain_lines(lines: DataFrame, text: str = "value") -> DataFrame:
+    """lines with body and bad, for logs without numbers: "<crc32 hex>\\t<json>", or bare JSON of an old log. Blank lines are left out."""
+    tagged = F.col(text).rlike("^[0-9a-fA-F]{8}\t")
     body = F.when(tagged, F.substring(F.col(text), F.lit(10), F.length(text))).otherwise(F.col(text))
     wrong = tagged & (F.lpad(F.lower(F.hex(F.crc32(F.encode("body", "UTF-8")))), 8, "0") != F.lower(F.substring(text, 1, 8)))
-    return parts.withColumn("body", body), wrong | F.try_parse_json("body").isNull()
+    return lines.where(F.trim(text) != "").withColumn("body", body).withColumn("bad", wrong | F.try_parse_json("body").isNull())
 
 
 def prune_edges(edges: DataFrame, items: DataFrame) -> DataFrame:

@@ -241,10 +241,23 @@ def dedup_best_chunk(spark, sf_dir):
     return retrieve.top(retrieve.best_chunk(scored), 50).select(F.col("document_id").alias("doc_id"), F.col("id").alias("chunk_id"), *_six("score"))
 
 
-@_query()
+_PICKS = "p1 AS (SELECT vec_id FROM m ORDER BY score DESC, cos DESC, vec_id LIMIT 1)"
+for _n in range(2, 6):
+    _done = f"p{_n - 1}"
+    _PICKS += f""", p{_n} AS (SELECT vec_id FROM {_done} UNION ALL (SELECT vec_id FROM (SELECT m.vec_id, m.score, 0.5::DOUBLE * m.score - 0.5::DOUBLE * greatest(0::DOUBLE, (SELECT max(s) FROM sim WHERE a = m.vec_id AND b IN (SELECT vec_id FROM {_done}))) v
+        FROM m WHERE m.vec_id NOT IN (SELECT vec_id FROM {_done})) ORDER BY v DESC, score DESC, vec_id LIMIT 1))"""
+_PLACES = " UNION ALL ".join(f"SELECT vec_id, {n}::BIGINT AS place FROM p{n}" + (f" WHERE vec_id NOT IN (SELECT vec_id FROM p{n - 1})" if n > 1 else "") for n in range(1, 6))
+
+
+@_query(
+    f"""{_NEAR}, e AS (SELECT vec_id, embedding::DOUBLE[] x FROM embeddings JOIN m USING (vec_id)),
+    sim AS (SELECT a.vec_id a, b.vec_id b, list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) s FROM e a, e b), {_PICKS}, o AS ({_PLACES})
+    SELECT vec_id, place, round(score, 6) AS score FROM o JOIN m USING (vec_id)"""
+)
 def mmr_top5(spark, sf_dir):
-    pool = retrieve.vector_search(_vectors(spark, sf_dir), VECTOR, retrieve.fetch_k(10))
-    return retrieve.mmr(pool, 5, 0.5).select(F.col("id").alias("vec_id"), "place", *_six("score"))
+    """Five picks from the pool of a search for the best ten."""
+    found = retrieve.vector_search(_vectors(spark, sf_dir), VECTOR, None, pool=retrieve.fetch_k(10))
+    return retrieve.mmr(found, 5, 0.5).select(F.col("id").alias("vec_id"), "place", *_six("score"))
 
 
 @_query("SELECT doc_id FROM documents WHERE lang = 'fr' AND source = 'src3'")

@@ -1,13 +1,15 @@
-"""Getting the package to the executors."""
+"""Getting the package to the executors, and folders that they share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_OWN: dict[str, str] = {}
 _SENT: set[str] = set()
 
 
@@ -23,3 +25,13 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(to))
     _SENT.add(app)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path below spark.checkpoint.dir; where that is unset, below a temporary folder in local mode, and an error on a cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="recallforge-"))
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

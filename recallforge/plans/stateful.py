@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recallforge.operators import graph, minisql, report, state
-from recallforge.operators.filters import valid_at
-from recallforge.sources import ingest
+from recallforge.operators.filters import Filter, valid_at
+from recallforge.plans.session import scratch
+from recallforge.sources import ingest, wal
+from recallforge.sources.store import Config, MemoryStore
 
 AS_OF_MS = 1_705_276_800_000  # 15 January 2024
 _MS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))"
@@ -55,11 +57,19 @@ def version_counter(spark, sf_dir):
     return state.versions(_log(spark, sf_dir), "user_id", "k")
 
 
-@_query("SELECT event_id, value FROM events WHERE event_id < (SELECT min(event_id) FROM events WHERE event_id >= 200 AND props = '{\"k\": 69}')")
+@_query("SELECT event_id, props FROM events WHERE event_id < (SELECT min(event_id) FROM events WHERE event_id >= 200 AND props = '{\"k\": 69}')")
 def wal_valid_prefix(spark, sf_dir):
-    lines = _read(spark, sf_dir, "events")
-    bad = (F.col("event_id") >= 200) & (F.crc32(F.col("props").cast("binary")) == F.crc32(F.lit('{"k": 69}').cast("binary")))
-    return state.valid_prefix(lines, bad, "event_id").select("event_id", "value")
+    """Events as a log of lines in three appends of unequal size; from number 200 on, lines of one value lose their end. What is recovered is decoded again."""
+    e = _read(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("event_id", "props")).alias("body"), "props")
+    path, torn = scratch(spark, "log"), scratch(spark, "torn")
+    for low, high in ((0, 50), (50, 53), (53, None)):
+        part = e.where(F.col("event_id") >= low) if high is None else e.where((F.col("event_id") >= low) & (F.col("event_id") < high))
+        wal.write(part, path, "event_id")
+    body = F.element_at(F.split("value", "\t", 3), 3)
+    bad = (F.get_json_object(body, "$.event_id").cast("long") >= 200) & (F.get_json_object(body, "$.props") == '{"k": 69}')
+    spark.read.text(path).select(F.when(bad, F.expr("left(value, length(value) - 3)")).otherwise(F.col("value")).alias("value")).write.text(torn)
+    got = wal.recover(spark, torn).select(F.from_json("body", "event_id long, props string").alias("r"))
+    return got.select("r.event_id", "r.props")
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,12 +98,12 @@ def superseded_marks(spark, sf_dir):
     return own.join(state.superseded(writes), ["tenant_id", "id"]).select("conv_id", "turn", "superseded_by")
 
 
-@_query("SELECT conv_id, turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations n WHERE n.conv_id = c.conv_id AND n.turn = c.turn + 1)")
+@_query("SELECT conv_id, turn FROM conversations c WHERE (conv_id % 4) = 1 AND NOT (turn % 3 <> 2 AND EXISTS (SELECT 1 FROM conversations n WHERE n.conv_id = c.conv_id AND n.turn = c.turn + 1))")
 def superseded_excluded(spark, sf_dir):
-    """Only the last turn of each conversation is not superseded by the next one."""
-    c = _read(spark, sf_dir, "conversations")
-    marks = c.select("conv_id", (F.col("turn") - 1).alias("turn"))
-    return c.join(marks, ["conv_id", "turn"], "left_anti").select("conv_id", "turn")
+    """One tenant's turns as memories, with the marks of superseded_marks, through the filter that leaves superseded ones out."""
+    marks = superseded_marks(spark, sf_dir)
+    rows = _read(spark, sf_dir, "conversations").join(marks, ["conv_id", "turn"], "left").withColumn("tenant_id", (F.col("conv_id") % 4).cast("string"))
+    return rows.where(Filter("1").column()).select("conv_id", "turn")
 
 
 # --------------------------------------------------------------------------------------------- graph
@@ -236,14 +246,56 @@ def audit_stats(spark, sf_dir):
     return report.audit_stats(_audit(spark, sf_dir))
 
 
-_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+def _store(spark: SparkSession, sf_dir: str) -> MemoryStore:
+    """A store of regions as tenants, nations as collections and customers as records of the table of their market segment, in three appends."""
+    db = MemoryStore(spark, scratch(spark, "store"), Config(auto_compact_ops=0, auto_compact_bytes=0), now=lambda: AS_OF_MS)
+    row = lambda kind, tenant, collection, table, key, **body: (F.lit("put").alias("op"), F.lit(kind).alias("kind"), tenant.alias("tenant_id"), collection.alias("collection"), table.alias("table"), key.alias("id"), F.to_json(F.struct(*(c.alias(k) for k, c in body.items()))).alias("body"))
+    null, text = F.lit(None).cast("string"), lambda c: F.col(c).cast("string")
+    nation = _read(spark, sf_dir, "nation")
+    db.commit_frame(_read(spark, sf_dir, "region").select(*row("tenant", text("r_regionkey"), null, null, text("r_regionkey"), name=F.col("r_name"))))
+    db.commit_frame(nation.select(*row("collection", text("n_regionkey"), F.col("n_name"), null, F.col("n_name"), description=F.col("n_name"))))
+    customer = _read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).orderBy("c_custkey")
+    payload = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")))
+    db.commit_frame(customer.select(*row("record", text("n_regionkey"), F.col("n_name"), F.col("c_mktsegment"), text("c_custkey"), payload=payload, version=F.lit(1))))
+    return db
+
+
+_KINDS = ("tenant", "collection", "document", "chunk", "memory", "record", "file", "edge", "prompt")
 
 
-@_query(" UNION ALL ".join(f"SELECT '{t}' AS entity, count(*) AS rows FROM {t}" for t in _TABLES))
+@_query(
+    "WITH n AS (SELECT 'tenant' AS entity, count(*) AS rows FROM region UNION ALL SELECT 'collection', count(*) FROM nation UNION ALL SELECT 'record', count(*) FROM customer) SELECT * FROM n UNION ALL SELECT 'operations', sum(rows)::BIGINT FROM n UNION ALL SELECT 'audit', 0 "
+    + " ".join(f"UNION ALL SELECT '{k}', 0" for k in _KINDS if k not in ("tenant", "collection", "record"))
+)
 def db_stats(spark, sf_dir):
-    return report.counts(**{t: _read(spark, sf_dir, t) for t in _TABLES})
+    """The statistics of a real store."""
+    return _store(spark, sf_dir).stats()
 
 
-@_query("SELECT c_custkey AS id, 'crc' AS kind FROM customer WHERE c_acctbal < 0")
+@_query("SELECT c_custkey::VARCHAR AS id, row_number() OVER (ORDER BY c_custkey) AS place FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 AND c_mktsegment = (SELECT min(c_mktsegment) FROM customer)")
 def list_filter(spark, sf_dir):
-    return _read(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("id"), F.lit("crc").alias("kind"))
+    """Records of one tenant and table, in the order of their insertion."""
+    first = _read(spark, sf_dir, "customer").agg(F.min("c_mktsegment")).first()[0]
+    return _store(spark, sf_dir).list("record", "1", table=first).select("id", F.row_number().over(Window.orderBy("seq")).cast("long").alias("place"))
+
+
+_CODE = "(SELECT item_id, text || chr(10) || 'def f' || item_id || '():' || chr(10) || '  return ' || substr(text, 1, 60) || chr(10) || 'class C' || item_id || ':' || chr(10) || '    def g(self): pass' || chr(10) || '# ' || substr(text, 1, 90) || chr(10) || 'async def h(): pass' AS code FROM benchmark)"
+_N = "len(list_filter(regexp_split_to_array({}, '\\s+'), lambda y: y <> ''))"
+_GROUPS = "list_transform(range(0, n, 12), lambda i: array_to_string(list_filter(regexp_split_to_array(s, '\\s+'), lambda y: y <> '')[i + 1 : i + 12], ' '))"
+
+
+@_query(
+    f"""WITH s AS (SELECT item_id, o, CASE WHEN ends_with(s, chr(10)) THEN s[:-2] ELSE s END s FROM (SELECT item_id, unnest(p) s, generate_subscripts(p, 1) o
+        FROM (SELECT item_id, string_split(regexp_replace(code, '(^|\n)(def |class |async def )', '\\1' || chr(1) || '\\2', 'g'), chr(1)) p FROM {_CODE})) WHERE trim(s, ' ' || chr(10)) <> ''),
+    g AS (SELECT item_id, o, s, n, CASE WHEN n > 12 THEN {_GROUPS} ELSE [s] END parts FROM (SELECT *, {_N.format("s")} n FROM s)),
+    m AS (SELECT item_id, list_reduce(list_transform(list({{'n': n, 'p': parts}} ORDER BY o), lambda x: x.p), lambda a, c: CASE
+        WHEN len(c) > 1 OR {_N.format("c[1]")} > 12 THEN list_concat(CASE WHEN len(a) = 0 OR ends_with(a[-1], chr(10)) THEN a ELSE list_append(a[1 : len(a) - 1], a[-1] || chr(10)) END, c)
+        WHEN len(a) > 0 AND {_N.format("a[-1]")} + {_N.format("c[1]")} <= 12 THEN list_append(a[1 : len(a) - 1], a[-1] || chr(10) || c[1]) ELSE list_concat(a, c) END, []::VARCHAR[]) c FROM g GROUP BY item_id)
+    SELECT item_id, unnest(c) AS chunk, generate_subscripts(c, 1) - 1 AS ordinal FROM m"""
+)
+def code_chunks(spark, sf_dir):
+    """Benchmark passages made into Python modules, cut into chunks of 12 words."""
+    t, i = F.col("text"), F.col("item_id").cast("string")
+    code = F.concat(t, F.lit("\ndef f"), i, F.lit("():\n  return "), F.substring(t, 1, 60), F.lit("\nclass C"), i, F.lit(":\n    def g(self): pass\n# "), F.substring(t, 1, 90), F.lit("\nasync def h(): pass"))
+    made = ingest.with_code_chunks(_read(spark, sf_dir, "benchmark").select("item_id", code.alias("text"), F.lit("python").alias("language")), budget=12)
+    return made.select("item_id", "chunk", F.col("ordinal").cast("long"))

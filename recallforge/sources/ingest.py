@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import json
-import re
-from collections.abc import Iterator
-from pathlib import PurePosixPath
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,36 +15,45 @@ KINDS = {"txt": "text/plain", "md": "text/markdown", "csv": "text/csv", "json":
 
 #: Beginnings of a line that open a new segment of code, by language. Fixed values.
 OPENERS = {
-    "rust": ["fn ", "pub fn ", "pub(crate) fn ", "async fn ", "pub async fn ", "struct ", "pub struct ", "enum ", "pub enum ", "impl ", "impl<", "trait ", "pub trait ", "mod ", "pub mod ", "const ", "pub const ", "static ", "type "],
-    "python": ["def ", "class ", "async def "],
-    "javascript": ["function ", "export function ", "async function ", "export async function ", "class ", "export class ", "const ", "export const ", "let ", "export default "],
+    "rust": ["pub async fn ", "async fn ", "pub fn ", "fn ", "pub struct ", "struct ", "pub enum ", "enum ", "pub impl ", "impl ", "pub trait ", "trait ", "pub mod ", "mod ", "pub const ", "const ", "pub static ", "static ", "macro_rules!"],
+    "python": ["def ", "async def ", "class "],
+    "javascript": ["async function ", "function ", "class ", "export default ", "export function ", "export class ", "export async function ", "const ", "let ", "var "],
     "go": ["func ", "type ", "var ", "const "],
-    "java": ["public ", "private ", "protected ", "class ", "interface ", "enum ", "fun ", "abstract ", "static "],
+    "java": ["public class ", "class ", "public interface ", "interface ", "public enum ", "enum ", "public ", "private ", "protected "],
 }
 #: Other names of these languages. Fixed values.
-LANGUAGES = {"rs": "rust", "py": "python", "js": "javascript", "typescript": "javascript", "ts": "javascript", "golang": "go", "kotlin": "java"}
+LANGUAGES = {"typescript": "javascript", "js": "javascript", "ts": "javascript", "kotlin": "java"}
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """path, name, extension, media_type, size_bytes, checksum and text of the txt, md, csv and json files of a folder.
+def files(spark: SparkSession, path: str, pdf: Callable[[bytes], str] | None = None) -> DataFrame:
+    """path, file_id (the path below the folder), name, extension, media_type, size_bytes, checksum and text of the txt, md, csv and json files of a folder, or of one file.
 
-    Any other extension raises an error when it is read, and so does a file that is not UTF-8.
+    Any other extension raises an error when it is read, and so does a file that is not UTF-8. A PDF goes through pdf, a function
+    from its bytes to its text; no such function comes with this package.
     """
     raw = spark.read.format("binaryFile").load(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = str(at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at)).rstrip("/") + "/"
     name = F.element_at(F.split("path", "/"), -1)
+    below = F.when(F.col("path").startswith(root), F.substring(F.col("path"), F.lit(len(root) + 1), F.length("path"))).otherwise(name)
     extension = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    media = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))[extension]
-    known = F.coalesce(media, F.raise_error(F.concat(F.lit("this kind of file cannot be imported: "), name)).cast("string"))
+    kinds = KINDS | ({"pdf": "application/pdf"} if pdf else {})
+    media = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))[extension]
+    why = F.when(extension == "pdf", "there is no PDF reader here, pass one as pdf: ").otherwise("this kind of file cannot be imported: ")
+    known = F.coalesce(media, F.raise_error(F.concat(why, name)).cast("string"))
     text = F.decode("content", "UTF-8")
-    return raw.select("path", name.alias("name"), extension.alias("extension"), known.alias("media_type"), F.col("length").alias("size_bytes"), checksum(text).alias("checksum"), text.alias("text"))
+    if pdf:
+        read = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else pdf(bytes(x))), "string")
+        text = F.when(extension == "pdf", read(F.when(extension == "pdf", F.col("content")))).otherwise(F.when(extension != "pdf", text))
+    return raw.select("path", below.alias("file_id"), name.alias("name"), extension.alias("extension"), known.alias("media_type"), F.col("length").alias("size_bytes"), checksum(text).alias("checksum"), text.alias("text"))
 
 
 def documents(files_: DataFrame, tenant: str, collection: str, now_ms: int) -> DataFrame:
-    """Documents of imported files, with the file's facts as metadata."""
-    keys = ("file_name", "media_type", "checksum")
-    meta = F.create_map(*(x for k, c in zip(keys, ("name", "media_type", "checksum")) for x in (F.lit(k), F.col(c))))
+    """Documents of imported files, with the file's facts as metadata and as columns."""
+    keys = ("file_id", "file_name", "media_type", "checksum")
+    meta = F.create_map(*(x for k, c in zip(keys, ("file_id", "name", "media_type", "checksum")) for x in (F.lit(k), F.col(c))))
     text = F.when(F.col("extension") == "json", projection(F.regexp_replace("name", r"\.[^.]+$", ""), F.col("name"), F.when(F.col("extension") == "json", F.col("text")))).otherwise(F.col("text"))
-    return files_.select(F.concat(F.lit("file:"), "name").alias("id"), F.lit(tenant).alias("tenant_id"), F.lit(collection).alias("collection"), text.alias("text"), meta.alias("metadata"), F.lit(now_ms).alias("created_at"))
+    return files_.select(F.concat(F.lit("file:"), "file_id").alias("id"), F.lit(tenant).alias("tenant_id"), F.lit(collection).alias("collection"), text.alias("text"), meta.alias("metadata"), F.lit(now_ms).alias("created_at"), "path", "file_id", "name", "media_type", "checksum", "size_bytes")
 
 
 def csv_records(lines: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
@@ -91,36 +98,31 @@ def projection(table: Column, key: Column, payload: Column) -> Column:
 
 
 def code_chunks(text: str, language: str, budget: int = CHUNK_TOKENS) -> list[str]:
-    """Segments that begin at an opening line without indentation; neighbours are joined while they fit into the budget, and a
-    segment beyond it is cut into groups of words."""
-    starts = tuple(OPENERS.get(LANGUAGES.get(language.lower(), language.lower()), ()))
-    groups = lambda t: [" ".join(t[i : i + budget]) for i in range(0, len(t), budget)]
-    if not starts:
-        return groups(text.split())
-    parts: list[list[str]] = [[]]
-    for line in text.split("\n"):
-        if line.startswith(starts) and parts[-1]:
+    """Segments that begin at an opening line without indentation. A segment joins the chunk before it if both fit into the budget of words; one beyond the budget is
+    cut into groups of words, and the chunk before it, if there is one, ends in a line feed."""
+    starts = tuple(OPENERS.get(LANGUAGES.get(language, language), ()))
+    groups = lambda words: [" ".join(words[i : i + budget]) for i in range(0, len(words), budget)]
+    parts: list[list[str]] = []
+    for line in (x.removesuffix("\r") for x in text.removesuffix("\n").split("\n")):
+        if not parts or starts and line.startswith(starts):
             parts.append([])
         parts[-1].append(line)
-    out, held, size = [], [], 0
-    for part in ("\n".join(p) for p in parts):
-        n = len(part.split())
-        if not n:
-            continue
-        if held and size + n > budget:
-            out, held, size = [*out, "\n".join(held)], [], 0
-        if n > budget:
-            out += groups(part.split())
+    segments = [x for x in map("\n".join, parts) if x.strip()]
+    if not starts or not segments:
+        return groups(text.split())
+    out: list[str] = []
+    for x in segments:
+        words = x.split()
+        if len(words) > budget:
+            out = [*out[:-1], *(y if y.endswith("\n") else y + "\n" for y in out[-1:]), *groups(words)]
+        elif out and len(out[-1].split()) + len(words) <= budget:
+            out[-1] += "\n" + x
         else:
-            held, size = [*held, part], size + n
-    return [*out, "\n".join(held)] if held else out
+            out.append(x)
+    return out
 
 
 def with_code_chunks(df: DataFrame, text: str = "text", language: str = "language", budget: int = CHUNK_TOKENS) -> DataFrame:
     """df with a row for each code chunk: ordinal and chunk."""
     cut = F.pandas_udf(lambda t, lang: pd.Series([code_chunks(x or "", y or "", budget) for x, y in zip(t, lang)]), "array<string>")
     return df.select("*", F.posexplode(cut(F.col(text), F.col(language))).alias("ordinal", "chunk"))
-
-
-def stem(path: str) -> str:
-    return PurePosixPath(path).stem if re.search(r"[^/]$", path) else ""

@@ -11,7 +11,7 @@ import json
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recallforge.functions import text as T
@@ -53,6 +53,7 @@ AUDIT = "seq long, tenant_id string, ts long, query string, used long, body stri
 class Config:
     chunk_tokens: int = T.CHUNK_TOKENS
     auto_compact_ops: int = 1000
+    auto_compact_bytes: int = 8 << 20
     decay_weight: float = 0.0
     decay_days: float = 30.0
     connectivity_weight: float = 0.0
@@ -91,10 +92,10 @@ class MemoryStore:
         context.check_weight("decay weight", config.decay_weight)
         context.check_weight("connectivity weight", config.connectivity_weight)
         self.spark, self.path, self.config, self.now = spark, path.rstrip("/"), config, now
-        self.generation = max([0, *self._complete()])
-        self._seq = -1
+        self.generation, self._audits = (max([0, *self._complete(what)]) for what in ("ops", "audit"))
         self._seq = self.ops().agg(F.max("seq")).first()[0] or 0
-        self._since = 0
+        self._since = self._bytes = self._ids = 0
+        self._audit_seq: int | None = None
 
     # ------------------------------------------------------------------------------------ the log
 
@@ -102,14 +103,20 @@ class MemoryStore:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _complete(self) -> list[int]:
-        fs, p = self._fs(f"{self.path}/ops")
+    def _complete(self, what: str) -> list[int]:
+        """Numbers of the generations of ops or audit that are complete."""
+        fs, p = self._fs(f"{self.path}/{what}")
         if not fs.exists(p):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(p)]
-        done = [n for n in names if n.startswith("gen=") and fs.exists(self._fs(f"{self.path}/ops/{n}/_SUCCESS")[1])]
+        done = [n for n in names if n.startswith("gen=") and fs.exists(self._fs(f"{self.path}/{what}/{n}/_SUCCESS")[1])]
         return [int(n[4:]) for n in done]
 
+    def new_id(self, prefix: str) -> str:
+        """prefix, the time in milliseconds and a counter."""
+        self._ids += 1
+        return f"{prefix}-{self.now()}-{self._ids}"
+
     def ops(self) -> DataFrame:
         """Every operation of the present generation."""
         folder = f"{self.path}/ops/gen={self.generation}"
@@ -123,24 +130,29 @@ class MemoryStore:
         now, first = self.now(), self._seq + 1
         data = [(first + i, now, op, kind, t, c, tb, key, json.dumps(body) if body is not None else None) for i, (op, kind, t, c, tb, key, body) in enumerate(rows)]
         self.spark.createDataFrame(data, OPS).coalesce(1).write.mode("append").parquet(f"{self.path}/ops/gen={self.generation}")
-        self._seq += len(rows)
-        self._since += len(rows)
-        if self.config.auto_compact_ops and self._since >= self.config.auto_compact_ops:
+        self._grown(len(rows), len(rows), sum(len(r[-1] or "") for r in data))
+
+    def commit_frame(self, rows: DataFrame) -> int:
+        """A batch of puts or deletes as a DataFrame (op, kind, tenant_id, collection, table, id, body), one append; how many there were. Numbers may have gaps."""
+        numbered = rows.withColumn("seq", F.monotonically_increasing_id() + self._seq + 1).withColumn("ts", F.lit(self.now()))
+        path = f"{self.path}/ops/gen={self.generation}"
+        seen = Observation()
+        numbered.select("seq", "ts", "op", *IDENTITY, "body").observe(seen, F.count("*").alias("n"), F.max("seq").alias("last"), F.sum(F.octet_length("body")).alias("size")).write.mode("append").parquet(path)
+        got = seen.get
+        self._grown(got["n"], (got["last"] or self._seq) - self._seq, got["size"] or 0)
+        return got["n"]
+
+    def _grown(self, rows: int, numbers: int, size: int) -> None:
+        self._seq, self._since, self._bytes = self._seq + numbers, self._since + rows, self._bytes + size
+        limits = ((self.config.auto_compact_ops, self._since), (self.config.auto_compact_bytes, self._bytes))
+        if any(limit and now >= limit for limit, now in limits):
             self.compact()
 
-    def commit_frame(self, rows: DataFrame) -> None:
-        """A batch of puts as a DataFrame (kind, tenant_id, collection, table, id, body and an order column `nth` from 0), one append."""
-        n = rows.count()
-        numbered = rows.select((F.col("nth") + self._seq + 1).alias("seq"), F.lit(self.now()).alias("ts"), F.lit("put").alias("op"), *IDENTITY, "body")
-        numbered.write.mode("append").parquet(f"{self.path}/ops/gen={self.generation}")
-        self._seq += n
-        self._since += n
-
     def compact(self) -> None:
         """The live rows as the next generation; older ones are deleted when it is complete."""
         live = self._live()
         live.write.mode("overwrite").parquet(f"{self.path}/ops/gen={self.generation + 1}")
-        old, self.generation, self._since = self.generation, self.generation + 1, 0
+        old, self.generation, self._since, self._bytes = self.generation, self.generation + 1, 0, 0
         fs, p = self._fs(f"{self.path}/ops/gen={old}")
         fs.delete(p, True)
 
@@ -224,9 +236,10 @@ class MemoryStore:
         rows += [("put", "chunk", tenant, collection, None, c, {"document_id": key, "ordinal": i, "text": t, "embedding": e}) for i, (c, (t, e)) in enumerate(zip(fresh, parts))]
         return rows
 
-    def store_document(self, tenant: str, collection: str, key: str, text: str, **more) -> Row:
-        """Upsert: created_at stays, version grows, all chunks are replaced. more: metadata, source, valid_from, valid_until, chunks [(text, embedding)], content_type."""
+    def store_document(self, tenant: str, collection: str, key: str | None, text: str, **more) -> Row:
+        """Upsert (a new id without a key): created_at stays, version grows, all chunks are replaced. more: metadata, source, valid_from, valid_until, chunks [(text, embedding)], content_type."""
         self._need("collection", tenant, collection)
+        key = key or self.new_id("doc")
         stale = [r.id for r in self.chunks_of(tenant, collection, key).select("id").collect()]
         self._commit(self._document_rows(tenant, collection, key, text, self.get("document", tenant, collection, key), stale, **more))
         self._prune(tenant)
@@ -255,9 +268,10 @@ class MemoryStore:
         return {"text": text, "memory_type": memory_type.lower(), "confidence": confidence, "embedding": embedding, "supersedes": list(supersedes), "contradicts": list(contradicts), "created_at": old.created_at if old else self.now(), **more}
 
     def remember_many(self, tenant: str, collection: str, items: list[dict]) -> list[str]:
-        """Memories (key, text, and what _memory_body takes) in one append; those they supersede are written again with the mark."""
+        """Memories (key, text, and what _memory_body takes) in one append; those they supersede are written again with the mark. One without a key gets a new id."""
         self._need("collection", tenant, collection)
         named = {k for i in items for k in (*i.get("supersedes", ()), *i.get("contradicts", ()))}
+        items = [i if i.get("key") else i | {"key": self.new_id("mem")} for i in items]
         keys = [_text("id", i["key"]) for i in items]
         mine = {}
         for r in self.list("memory", tenant).where(F.col("id").isin(sorted(named | set(keys)) or [""])).collect():
@@ -278,8 +292,8 @@ class MemoryStore:
         self._commit(rows)
         return keys
 
-    def remember(self, tenant: str, collection: str, key: str, text: str, **more) -> Row:
-        self.remember_many(tenant, collection, [{"key": key, "text": text, **more}])
+    def remember(self, tenant: str, collection: str, key: str | None, text: str, **more) -> Row:
+        [key] = self.remember_many(tenant, collection, [{"key": key, "text": text, **more}])
         return self.get("memory", tenant, collection, key)
 
     def rate_memory(self, tenant: str, collection: str, key: str, confidence: float) -> None:
@@ -302,21 +316,50 @@ class MemoryStore:
         self._commit([("put", "record", tenant, collection, table, key, body)])
         return self.get("record", tenant, collection, key, table)
 
-    def import_files(self, tenant: str, collection: str, path: str) -> int:
-        """Text, Markdown, CSV and JSON files of a folder: a file entity and a document for each."""
+    def import_files(self, tenant: str, collection: str, path: str, pdf=None) -> int:
+        """Text, Markdown, CSV and JSON files of a folder, or one file: a file entity and a document for each, in one append.
+
+        A file's id is its path below the folder, its document's `file:` and that. pdf: a function from the bytes of a PDF to its text; without
+        one a PDF is an error. Texts, chunks and rows are made on the executors.
+        """
         self._need("collection", tenant, collection)
-        found = ingest.documents(ingest.files(self.spark, path).withColumn("table", F.lit(None)), tenant, collection, self.now())
-        facts = {r.name: r for r in ingest.files(self.spark, path).drop("text").collect()}
-        rows = []
-        for r in found.collect():
-            f = facts[r.metadata["file_name"]]
-            source = {"label": "file", "uri": f.path, "title": f.name}
-            rows += self._document_rows(tenant, collection, r.id, r.text, self.get("document", tenant, collection, r.id), [c.id for c in self.chunks_of(tenant, collection, r.id).select("id").collect()], metadata=r.metadata | {"file_id": f.name}, source=source)
-            old = self.get("file", tenant, collection, f.name)
-            body = {"path": f.path, "name": f.name, "media_type": f.media_type, "checksum": f.checksum, "size_bytes": f.size_bytes, "document_id": r.id, "source": source, "created_at": old.created_at if old else self.now(), "updated_at": self.now(), "version": old.version + 1 if old else 1}
-            rows.append(("put", "file", tenant, collection, None, f.name, body))
-        self._commit(rows)
-        return len(facts)
+        found = ingest.documents(ingest.files(self.spark, path, pdf), tenant, collection, self.now())
+        empty = found.where(F.trim("text") == "").select("file_id").first()
+        if empty:
+            raise StoreError(f"the file {empty[0]} holds no text")
+        mine = lambda kind: self.view(kind).where((F.col("tenant_id") == tenant) & (F.col("collection") == collection))
+        now, source = F.lit(self.now()), F.struct(F.lit("file").alias("label"), F.col("path").alias("uri"), F.col("name").alias("title"))
+        body = lambda **fields: F.to_json(F.struct(*(c.alias(k) for k, c in fields.items())))
+        row = lambda kind, key, body, op="put": (F.lit(op).alias("op"), F.lit(kind).alias("kind"), F.lit(tenant).alias("tenant_id"), F.lit(collection).alias("collection"), F.lit(None).cast("string").alias("table"), key.alias("id"), body.alias("body"))
+        stamped = lambda kind: found.join(mine(kind).select(F.col("id").alias("old"), F.col("created_at").alias("since"), "version"), F.col("id" if kind == "document" else "file_id") == F.col("old"), "left")
+        ages = {"created_at": F.coalesce("since", now), "updated_at": now, "version": F.coalesce("version", F.lit(0)) + 1}
+        docs = stamped("document").select(*row("document", F.col("id"), body(text=F.col("text"), metadata=F.col("metadata"), source=source, **ages)))
+        files = stamped("file").select(*row("file", F.col("file_id"), body(path=F.col("path"), name=F.col("name"), media_type=F.col("media_type"), checksum=F.col("checksum"), size_bytes=F.col("size_bytes"), document_id=F.col("id"), source=source, **ages)))
+        parts = found.select(F.col("id").alias("doc"), F.posexplode(T.chunks(F.col("text"), self.config.chunk_tokens)).alias("ordinal", "part"))
+        chunks = parts.select(*row("chunk", F.concat_ws("#", "doc", F.col("ordinal").cast("string")), body(document_id=F.col("doc"), ordinal=F.col("ordinal"), text=F.col("part"))))
+        fresh = chunks.select("id")
+        stale = mine("chunk").join(found.select(F.col("id").alias("document_id")), "document_id", "left_semi").join(fresh, "id", "left_anti").select(*row("chunk", F.col("id"), F.lit(None).cast("string"), "delete"))
+        self.commit_frame(docs.union(files).union(chunks).union(stale))
+        self._prune(tenant)
+        return found.count()
+
+    def upload_records(self, tenant: str, collection: str, path: str) -> int:
+        """The rows of CSV files, and the elements of JSON files that hold an array of objects, as records; how many.
+
+        The table is the file's name without its ending, a record's id that and the place of the row. A row that is no object is an error, before anything is written.
+        """
+        self._need("collection", tenant, collection)
+        found = ingest.files(self.spark, path)
+        csv = ingest.csv_records(found.where("extension = 'csv'")).select("table", "row", F.to_json("payload").alias("payload"))
+        made = csv.union(ingest.json_records(found.where("extension = 'json'")).select("table", "row", "payload"))
+        if made.where(~F.col("payload").startswith("{")).first():
+            raise StoreError("a payload is a JSON object")
+        key = F.concat_ws("-", "table", F.col("row").cast("string"))
+        old = self.view("record").where((F.col("tenant_id") == tenant) & (F.col("collection") == collection)).select("table", F.col("id").alias("old"), F.col("created_at").alias("since"), "version")
+        made = made.withColumn("id", key).join(old.withColumnRenamed("table", "old_table"), (F.col("table") == F.col("old_table")) & (F.col("id") == F.col("old")), "left")
+        now = F.lit(self.now())
+        body = F.to_json(F.struct("payload", ingest.projection(F.col("table"), F.col("id"), F.col("payload")).alias("projection"), F.coalesce("since", now).alias("created_at"), now.alias("updated_at"), (F.coalesce("version", F.lit(0)) + 1).alias("version")))
+        return self.commit_frame(made.select(F.lit("put").alias("op"), F.lit("record").alias("kind"), F.lit(tenant).alias("tenant_id"), F.lit(collection).alias("collection"), "table", "id", body.alias("body")))
 
     def delete(self, kind: str, tenant: str, collection: str | None, key: str, table: str | None = None) -> None:
         """Idempotent. A document takes its chunks, a file its document, and each takes the edges that touch it."""
@@ -332,18 +375,27 @@ class MemoryStore:
             chunks = [r.id for r in self.chunks_of(tenant, collection, key).select("id").collect()]
             rows += [("delete", "chunk", tenant, collection, None, c, None) for c in chunks]
             gone += [("document_chunk", c) for c in chunks]
-        edges = self.list("edge", tenant).select("id", "from_kind", "from_id", "to_kind", "to_id").collect() if kind != "edge" else []
-        rows += [("delete", "edge", tenant, None, None, e.id, None) for e in edges if (e.from_kind, e.from_id) in gone or (e.to_kind, e.to_id) in gone]
         self._commit(rows)
+        if kind != "edge":
+            ends = self.spark.createDataFrame([(k, i) for k, i in gone], "kind string, end string")  # the item, its document and its chunks
+            edges = self.view("edge").where(F.col("tenant_id") == tenant)
+            touched = edges.where(F.lit(False)).select("id")
+            for side in ("from", "to"):
+                touched = touched.union(edges.join(F.broadcast(ends), (F.col(f"{side}_kind") == F.col("kind")) & (F.col(f"{side}_id") == F.col("end")), "left_semi").select("id"))
+            self._delete_all("edge", touched.distinct().select(F.lit(tenant).alias("tenant_id"), F.lit(None).cast("string").alias("collection"), F.lit(None).cast("string").alias("table"), "id"))
+
+    def _delete_all(self, kind: str, rows: DataFrame) -> int:
+        """Delete the entities (tenant_id, collection, table, id) of a kind, in one append; nothing is written if there are none."""
+        if rows.isEmpty():
+            return 0
+        return self.commit_frame(rows.select(F.lit("delete").alias("op"), F.lit(kind).alias("kind"), "tenant_id", "collection", "table", "id", F.lit(None).cast("string").alias("body")))
 
     def forget(self, tenant: str, collection: str, key: str) -> None:
         self.delete("memory", tenant, collection, key)
 
     def delete_table(self, tenant: str, collection: str, table: str) -> int:
         """All records of a table, in one append."""
-        keys = [r.id for r in self.list("record", tenant, collection, table).select("id").collect()]
-        self._commit([("delete", "record", tenant, collection, table, k, None) for k in keys])
-        return len(keys)
+        return self._delete_all("record", self.list("record", tenant, collection, table).select(*IDENTITY[1:]))
 
     # ------------------------------------------------------------------------------------ graph
 
@@ -368,8 +420,7 @@ class MemoryStore:
     def _prune(self, tenant: str) -> None:
         edges = self.list("edge", tenant)
         kept = state.prune_edges(edges, self._items(tenant))
-        lost = edges.join(kept.select("id"), "id", "left_anti").select("id").collect()
-        self._commit([("delete", "edge", tenant, None, None, r.id, None) for r in lost])
+        self._delete_all("edge", edges.join(kept.select("id"), "id", "left_anti").select(*IDENTITY[1:]))
 
     def neighbours(self, tenant: str, node: str) -> DataFrame:
         return graph.neighbours(self.list("edge", tenant), node).orderBy("seq")
@@ -391,16 +442,17 @@ class MemoryStore:
         words = T.query_tokens(r.query)
         vector = r.embedding or embed(r.query if how == "vector" else " ".join(w for w in _ordered(r.query)))
         keep = Filter(r.tenant, r.collection, r.user, r.memory_type, r.kind, r.metadata, r.as_of if r.as_of is not None else self.now(), r.include_superseded).column()
+        pool = retrieve.fetch_k(r.top_k)
         if how == "vector":
-            hits = retrieve.vector_search(entries, vector, retrieve.fetch_k(r.top_k), "key", keep)
+            hits = retrieve.vector_search(entries, vector, None, "key", keep, pool=pool)
         elif how == "text":
             hits = retrieve.text_search(entries, words, None, "key", keep)  # min-max scores lie close: any match may come first after weighting
-        elif r.dedup_chunks or r.mmr:
-            hits = entries.join(retrieve.hybrid_search(entries, words, vector, 10_000 if r.dedup_chunks else max(retrieve.fetch_k(r.top_k), 3 * r.top_k + 200), "key", keep, whole=True), "key")
+        elif r.dedup_chunks or r.mmr or r.min_score is not None:
+            hits = entries.join(retrieve.hybrid_search(entries, words, vector, r.top_k, "key", keep, whole=True, pool=pool), "key")
         else:
             # All that may still be ranked after weighting: the row at place p scores at most 4 / (120 + p), the first top_k at least 1 / (60 + top_k),
             # and confidence changes a score at most 1.2 : 0.8.
-            found = retrieve.hybrid_search(entries, words, vector, max(10_000 if r.min_score is not None else retrieve.fetch_k(r.top_k), 6 * r.top_k + 241), "key", keep)
+            found = retrieve.hybrid_search(entries, words, vector, 6 * r.top_k + 241, "key", keep, pool=pool)
             hits = entries.join(F.broadcast(found), "key")  # a bounded number of hits
         hits = hits.withColumn("score", retrieve.confidence_weight(F.col("score"), F.col("kind"), F.col("confidence")))
         if r.min_score is not None:
@@ -460,13 +512,15 @@ class MemoryStore:
     # ------------------------------------------------------------------------------------ audit, SQL, statistics
 
     def audit(self) -> DataFrame:
-        fs, p = self._fs(f"{self.path}/audit")
-        return self.spark.read.schema(AUDIT).parquet(f"{self.path}/audit") if fs.exists(p) else self.spark.createDataFrame([], AUDIT)
+        fs, p = self._fs(folder := f"{self.path}/audit/gen={self._audits}")
+        return self.spark.read.schema(AUDIT).parquet(folder) if fs.exists(p) else self.spark.createDataFrame([], AUDIT)
 
     def _audit(self, tenant: str, query: str, used: int, items: list[dict]) -> None:
-        seq = (self.audit().agg(F.max("seq")).first()[0] or 0) + 1
-        row = (seq, tenant, self.now(), query, used, json.dumps({"items": items}))
-        self.spark.createDataFrame([row], AUDIT).coalesce(1).write.mode("append").parquet(f"{self.path}/audit")
+        if self._audit_seq is None:
+            self._audit_seq = self.audit().agg(F.max("seq")).first()[0] or 0
+        self._audit_seq += 1
+        row = (self._audit_seq, tenant, self.now(), query, used, json.dumps({"items": items}))
+        self.spark.createDataFrame([row], AUDIT).coalesce(1).write.mode("append").parquet(f"{self.path}/audit/gen={self._audits}")
         if self.config.audit_records or self.config.audit_bytes:
             self.compact_audit()
 
@@ -476,11 +530,10 @@ class MemoryStore:
     def compact_audit(self, records: int | None = None, size: int | None = None) -> None:
         """Keep the newest audit records; None takes the configured limit and 0 lifts it."""
         kept = report.retained(self.audit(), self.config.audit_records if records is None else records, self.config.audit_bytes if size is None else size)
-        aside = f"{self.path}/audit-next"
-        kept.write.mode("overwrite").parquet(aside)
-        fs, old = self._fs(f"{self.path}/audit")
+        kept.write.mode("overwrite").parquet(f"{self.path}/audit/gen={self._audits + 1}")  # counts once it is complete, and only then the old one goes
+        fs, old = self._fs(f"{self.path}/audit/gen={self._audits}")
+        self._audits += 1
         fs.delete(old, True)
-        fs.rename(self._fs(aside)[1], old)
 
     def execute_sql(self, tenant: str, statement: str) -> DataFrame:
         return minisql.execute(self.view("record"), tenant, statement)

@@ -124,13 +124,34 @@ def test_state(spark):
 
 
 def test_log_recovery(spark, tmp_path):
-    bodies = spark.createDataFrame([(i, f'{{"n":{i}}}') for i in range(6)], "seq long, body string").repartition(3)
-    wal.write(bodies, str(tmp_path / "log"), "seq")
-    assert [r.body for r in wal.recover(spark, str(tmp_path / "log")).orderBy("pos").collect()] == [f'{{"n":{i}}}' for i in range(6)]
-    lines = [r.value for r in wal.lines(bodies.orderBy("seq")).collect()]
-    bad = [*lines[:3], "", '{"old":1}', lines[3][:-2], lines[4]]
-    (tmp_path / "bad.log").write_text("\n".join(bad) + "\n")
-    assert [r.body for r in wal.recover(spark, str(tmp_path / "bad.log")).orderBy("pos").collect()] == ['{"n":0}', '{"n":1}', '{"n":2}', '{"old":1}']
+    make = lambda low, high: spark.createDataFrame([(i, f'{{"n":{i}}}') for i in range(low, high)], "seq long, body string").repartition(3)
+    log, got = str(tmp_path / "log"), lambda path: [(r.pos, r.body) for r in wal.recover(spark, path).orderBy("pos").collect()]
+    want = [(i, f'{{"n":{i}}}') for i in range(70)]
+    for low, high in ((0, 3), (3, 60), (60, 61), (61, 70)):  # appends of unequal size
+        wal.write(make(low, high), log, "seq")
+        assert got(log) == want[:high]
+    lines = [r.value for r in spark.read.text(log).collect()]
+    hurt = {"torn": lambda x: x[:-2], "changed": lambda x: x.replace('"n"', '"m"'), "gone": lambda x: "", "moved": lambda x: x.replace("30\t", "31\t", 1)}
+    for name, how in hurt.items():
+        (tmp_path / name).mkdir()
+        for k in range(4):  # the lines dealt out over files in no order, the thirtieth hurt
+            some = [how(x) if x.startswith("30\t") else x for x in lines[k::4]]
+            (tmp_path / name / f"part-{k}.txt").write_text("\n".join(some[::-1]) + "\n")
+        assert got(str(tmp_path / name)) == want[:30]
+        if name == "torn":
+            with pytest.raises(wal.Damaged):
+                wal.write(make(70, 71), str(tmp_path / name), "seq")
+            assert wal.repair(spark, str(tmp_path / name), str(tmp_path / "mended")) == 30
+            wal.write(make(30, 35), str(tmp_path / "mended"), "seq")
+            assert got(str(tmp_path / "mended")) == want[:35]
+
+
+def test_log_files_without_numbers(spark, tmp_path):
+    import zlib
+
+    tag = lambda x: f"{zlib.crc32(x.encode()):08x}\t{x}"
+    (tmp_path / "a.log").write_text("\n".join([tag('{"n":0}'), "", '{"old":1}', tag('{"n":2}')[:-1], tag('{"n":3}')]))
+    assert [r.body for r in wal.recover_file(spark, str(tmp_path / "a.log")).orderBy("pos").collect()] == ['{"n":0}', '{"old":1}']
 
 
 def edges(spark):
@@ -199,10 +220,12 @@ def test_ingest(spark, tmp_path):
 def test_code_chunks():
     code = "use x;\nfn a() {\n  1\n}\nfn b() { 2 }\nstruct C;"
     assert ingest.code_chunks(code, "rust", 8) == ["use x;\nfn a() {\n  1\n}", "fn b() { 2 }\nstruct C;"]
-    assert ingest.code_chunks(code, "rust", 4) == ["use x;", "fn a() { 1", "}", "fn b() { 2", "}", "struct C;"]
+    assert ingest.code_chunks(code, "rust", 4) == ["use x;\n", "fn a() { 1", "}\n", "fn b() { 2", "}\nstruct C;"]  # what follows a cut segment joins its last words
     assert ingest.code_chunks("def a():\n  pass\ndef b():\n  pass", "python", 30) == ["def a():\n  pass\ndef b():\n  pass"]
-    assert ingest.code_chunks("def a():\n  pass\ndef b():\n  pass", "py", 3) == ["def a():\n  pass", "def b():\n  pass"]
+    assert ingest.code_chunks("def a():\n  pass\ndef b():\n  pass", "py", 3) == ["def a(): pass", "def b(): pass"]  # no such language: words
+    assert ingest.code_chunks("macro_rules! m\npub static X: u8\ntype T = u8", "rust", 3) == ["macro_rules! m\n", "pub static X:", "u8 type T", "= u8"]
     assert ingest.code_chunks("a b c", "cobol", 2) == ["a b", "c"] and ingest.code_chunks(" ", "rust", 2) == []
+    assert ingest.code_chunks("var a = 1\r\nlet b\r\n", "ts", 4) == ["var a = 1", "let b"]
 
 
 def test_postings_and_many_queries(spark):

@@ -111,8 +111,64 @@ def test_files(db, tmp_path):
     (tmp_path / "in" / "notes.md").write_text("oracle notes")
     assert db.import_files("acme", "support", str(tmp_path / "in")) == 1
     assert db.get("document", "acme", "support", "file:notes.md").metadata["media_type"] == "text/markdown"
+    assert db.get("file", "acme", "support", "notes.md").document_id == "file:notes.md"
     db.delete("file", "acme", "support", "notes.md")
     assert db.list("document", "acme").count() == 0 and db.list("chunk", "acme").count() == 0
+    for folder, text in (("a", "one " * 60), ("b", "two")):  # equal names in two folders
+        (tmp_path / "deep" / folder).mkdir(parents=True)
+        (tmp_path / "deep" / folder / "same.txt").write_text(text)
+    assert db.import_files("acme", "support", str(tmp_path / "deep")) == 0  # a folder's own files only
+    for folder in ("a", "b"):
+        assert db.import_files("acme", "support", str(tmp_path / "deep" / folder)) == 1
+    assert db.get("document", "acme", "support", "file:same.txt").version == 2 and [r.text for r in db.chunks_of("acme", "support", "file:same.txt").collect()] == ["two"]
+    (tmp_path / "pdf").mkdir()
+    (tmp_path / "pdf" / "x.pdf").write_bytes(b"%PDF one page")
+    with pytest.raises(Exception, match="no PDF reader"):
+        db.import_files("acme", "support", str(tmp_path / "pdf"))
+    assert db.import_files("acme", "support", str(tmp_path / "pdf"), pdf=lambda raw: raw[5:].decode()) == 1
+    assert db.get("document", "acme", "support", "file:x.pdf").text == "one page"
+
+
+def test_uploaded_records(db, tmp_path):
+    (tmp_path / "up").mkdir()
+    (tmp_path / "up" / "hosts.csv").write_text("name, role\npg1, db\nweb1\n")
+    (tmp_path / "up" / "sites.json").write_text('[{"city": "Rome"}, {"city": "Oslo", "n": 2}]')
+    assert db.upload_records("acme", "support", str(tmp_path / "up")) == 4
+    assert db.get("record", "acme", "support", "hosts-0", "hosts").payload == '{"name":"pg1","role":"db"}'
+    assert ids(db.execute_sql("acme", "SELECT * FROM sites WHERE city = 'Oslo'")) == ["sites-1"]
+    assert "pg1" in db.get("record", "acme", "support", "hosts-0", "hosts").projection
+    assert db.upload_records("acme", "support", str(tmp_path / "up")) == 4 and db.get("record", "acme", "support", "sites-1", "sites").version == 2
+    (tmp_path / "up" / "bad.json").write_text('[{"a": 1}, 5]')
+    with pytest.raises(StoreError):
+        db.upload_records("acme", "support", str(tmp_path / "up"))
+
+
+def test_new_ids_and_compaction_by_bytes(spark, tmp_path):
+    db = MemoryStore(spark, str(tmp_path / "c"), Config(auto_compact_ops=0, auto_compact_bytes=4000), now=Clock())
+    db.create_tenant("t"), db.create_collection("t", "c")
+    one, two = (db.remember("t", "c", None, x).id for x in ("first text", "second text"))
+    assert one != two and one.startswith("mem-") and db.store_document("t", "c", None, "a text").id.startswith("doc-") and db.generation == 0
+    db.remember("t", "c", one, "long " * 900)
+    assert db.generation == 1 and db.list("memory", "t").count() == 2 and MemoryStore(spark, str(tmp_path / "c")).generation == 1
+
+
+def test_the_store_ranks_as_the_operators(db):
+    """One pool depth: what the store returns, in vector and hybrid mode, has the scores of the operators over the same entries."""
+    import random
+
+    from recallforge.operators import retrieve
+
+    r = random.Random(4)
+    db.remember_many("acme", "support", [{"key": f"m{i:04}", "text": " ".join(r.choice(["oracle", "listener", "port", "disk", "x"]) for _ in range(6)), "embedding": [r.gauss(0, 1) for _ in range(64)]} for i in range(700)])
+    entries, vector = db.entries(), [r.gauss(0, 1) for _ in range(64)]
+    got = [(x.id, round(x.score, 9)) for x in db.search(Recall("acme", "", mode="vector", embedding=vector)).collect()]
+    assert got == [(x.id, round(x.score, 9)) for x in retrieve.vector_search(entries, vector, 10, "key").orderBy("score", ascending=False).collect()]
+    got = [(x.id, round(x.score, 12), x.reason) for x in db.search(Recall("acme", "oracle port", embedding=vector)).collect()]
+    want = {x.key: x for x in retrieve.hybrid_search(entries, ["oracle", "port"], vector, 10, "key").collect()}
+    assert got == [(x.key.split("\u0001")[-1], round(x.score, 12), x.reason) for x in sorted(want.values(), key=lambda x: (-x.score, x.key))]
+    low = sorted(x[1] for x in got)[3]
+    every = ids(db.search(Recall("acme", "oracle port", embedding=vector, min_score=low, top_k=10)))
+    assert every == [x[0] for x in got if x[1] >= low]
 
 
 def test_blends_keep_every_hit(spark, tmp_path):
