@@ -4,6 +4,9 @@ A text is cut into windows of WINDOW bytes (each begins with a space; the last i
 widths, the largest response of each filter is kept, and a softmax names the language. Since the input is a byte, a
 filter's response is a sum of one looked-up row per position: the embedding and the filter are folded into one table
 for each position of each filter. A text's score is the mean of its windows' probabilities, weighted by their bytes.
+
+One class more than there are languages is learned, for letters that are no language: windows whose letters were mixed up or drawn by chance. So the
+probability of a language says how sure it is that the text is in a language at all.
 """
 
 from __future__ import annotations
@@ -20,8 +23,12 @@ from pyspark.sql.types import DoubleType, StringType
 from recallforge.llm.common import hash_below, pieces, remainder, texts, wider
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
-#: About so many documents are learned from, spread over the languages; of each, up to CUTS pieces of WINDOW characters.
-SAMPLE, CUTS, EPOCHS, BATCH = 3000, 3, 6, 64
+#: About so many windows of WINDOW characters are learned from, chosen by hash among all windows of all training texts, as many of each language as far as it has them.
+SAMPLE, EPOCHS, BATCH = 9000, 5, 64
+#: Windows are learned from once more at one of these lengths, so that short texts are known too.
+LENGTHS = (8, 16, 32, 64, 128)
+#: Bytes of text turned into windows at once.
+AT_ONCE = 1 << 21
 UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters in lower case, every other ASCII byte as a space, the rest as it is; 0 pads.
@@ -32,75 +39,110 @@ _CODE[128:] = np.arange(128, 256)
 
 
 def windows(lines: list[bytes], widest: int = max(WIDTHS)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of all texts (they overlap by the widest filter less one), each one's text, and its bytes."""
+    """Windows of all texts (they overlap by the widest filter less one), each one's text, and its bytes. Texts come with the blank before them."""
     step = WINDOW - widest + 1
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines)) + 1
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     count = np.maximum(1, -(-(sizes - widest + 1) // step))
     owner = np.repeat(np.arange(len(lines)), count)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     base = np.cumsum(sizes) - sizes
-    data = np.concatenate((_CODE[np.frombuffer(b" " + b" ".join(lines), np.uint8)], np.zeros(WINDOW, np.uint8)))
+    data = np.concatenate((_CODE[np.frombuffer(b"".join(lines), np.uint8)], np.zeros(WINDOW, np.uint8)))
     start = base[owner] + nth * step
     left = np.minimum(WINDOW, sizes[owner] - nth * step)
-    out = data[start[:, None] + np.arange(WINDOW)]
+    out = data[start[:, None] + np.arange(WINDOW, dtype=np.int32)]
     out[np.arange(WINDOW) >= left[:, None]] = 0
     return out, owner, left
 
 
+def batches_of_windows(lines: list[bytes], size: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """windows() of all texts, about `size` bytes of text at a time; a longer text comes in parts, with the same windows as in one."""
+    size = size or AT_ONCE
+    step = WINDOW - max(WIDTHS) + 1
+    at = 0
+    while at < len(lines):
+        if len(lines[at]) > size:
+            whole, per = b" " + lines[at], max(1, size // step)
+            count = max(1, -(-(len(whole) - max(WIDTHS) + 1) // step))
+            for first in range(0, count, per):
+                last = min(count, first + per)
+                x, owner, left = windows([whole[first * step : (last - 1) * step + WINDOW]])
+                yield x, owner + at, left
+            at += 1
+            continue
+        to, held = at, 0
+        while to < len(lines) and (to == at or held + len(lines[to]) < size) and len(lines[to]) <= size:
+            held += len(lines[to])
+            to += 1
+        x, owner, left = windows([b" " + x for x in lines[at:to]])
+        yield x, owner + at, left
+        at = to
+
+
 class Net:
+    """The classes are the languages and, last, no language."""
+
     def __init__(self, langs: list[str], seed: int = 1):
         r = np.random.default_rng(seed)
         self.langs = langs
-        self.p = {"e": r.normal(0, 0.5, (256, EMBED)), "w": r.normal(0, 0.1, (len(WIDTHS) * FILTERS, len(langs))), "b": np.zeros(len(langs))}
+        self.p = {"e": r.normal(0, 0.5, (256, EMBED)), "w": r.normal(0, 0.1, (len(WIDTHS) * FILTERS, len(langs) + 1)), "b": np.zeros(len(langs) + 1)}
         for k in WIDTHS:
             self.p[f"f{k}"] = r.normal(0, 1 / np.sqrt(k * EMBED), (k, EMBED, FILTERS))
             self.p[f"c{k}"] = np.zeros(FILTERS)
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def pooled(self, x: np.ndarray, where: bool = False):
+    def folded(self) -> dict[int, list[np.ndarray]]:
+        """For each width, the embedding and the filters folded into one table for each position."""
+        return {k: [self.p["e"] @ self.p[f"f{k}"][j] + (self.p[f"c{k}"] if j == 0 else 0) for j in range(k)] for k in WIDTHS}
+
+    def pooled(self, x: np.ndarray, where: bool = False, tables: dict[int, list[np.ndarray]] | None = None):
         """The largest response of each filter, cut off below zero, and its place if asked for."""
-        out, at = [], []
+        out, at, tables = [], [], tables or self.folded()
         for k in WIDTHS:
             n = x.shape[1] - k + 1
-            r = (self.p["e"] @ self.p[f"f{k}"][0] + self.p[f"c{k}"])[x[:, :n]]
+            r = tables[k][0][x[:, :n]]
             for j in range(1, k):
-                r += (self.p["e"] @ self.p[f"f{k}"][j])[x[:, j : j + n]]
+                r += tables[k][j][x[:, j : j + n]]
             if where:
                 at.append(r.argmax(1))
             out.append(np.maximum(r.max(1), 0))
         return (np.concatenate(out, 1), at) if where else np.concatenate(out, 1)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        out = []
+        out, tables = [], self.folded()
         for i in range(0, len(x), 256):  # 256 windows: a few MB of responses at once
-            z = self.pooled(x[i : i + 256]) @ self.p["w"] + self.p["b"]
+            z = self.pooled(x[i : i + 256], tables=tables) @ self.p["w"] + self.p["b"]
             z = np.exp(z - z.max(1, keepdims=True))
             out.append(z / z.sum(1, keepdims=True))
-        return np.concatenate(out) if out else np.zeros((0, len(self.langs)), np.float32)
+        return np.concatenate(out) if out else np.zeros((0, len(self.langs) + 1), np.float32)
+
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy; through the pooling, only the winning place of each filter has one."""
+        h, at = self.pooled(x, True)
+        z = h @ self.p["w"] + self.p["b"]
+        z = np.exp(z - z.max(1, keepdims=True))
+        d = z / z.sum(1, keepdims=True)
+        d[np.arange(len(y)), y] -= 1
+        d /= len(y)
+        g = {"w": h.T @ d, "b": d.sum(0), "e": np.zeros_like(self.p["e"])}
+        back = (d @ self.p["w"].T) * (h > 0)
+        for q, k in enumerate(WIDTHS):
+            gk = back[:, q * FILTERS : (q + 1) * FILTERS]
+            g[f"c{k}"], g[f"f{k}"] = gk.sum(0), np.zeros_like(self.p[f"f{k}"])
+            for j in range(k):
+                byte = np.take_along_axis(x, at[q] + j, 1)
+                g[f"f{k}"][j] = np.einsum("nfe,nf->ef", self.p["e"][byte], gk)
+                np.add.at(g["e"], byte, gk[:, :, None] * self.p[f"f{k}"][j].T[None])
+        return g
 
     def learn(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.004, seed: int = 2) -> None:
-        """Adam on the cross-entropy; through the pooling, only the winning place of each filter has a gradient."""
+        """Adam on the cross-entropy."""
         r = np.random.default_rng(seed)
         m, v, t = {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}, 0
         for _ in range(epochs):
             order = r.permutation(len(x))
             for i in range(0, len(x), BATCH):
-                xb, yb = x[order[i : i + BATCH]], y[order[i : i + BATCH]]
-                h, at = self.pooled(xb, True)
-                z = h @ self.p["w"] + self.p["b"]
-                z = np.exp(z - z.max(1, keepdims=True))
-                d = z / z.sum(1, keepdims=True)
-                d[np.arange(len(yb)), yb] -= 1
-                d /= len(yb)
-                g = {"w": h.T @ d, "b": d.sum(0), "e": np.zeros_like(self.p["e"])}
-                back = (d @ self.p["w"].T) * (h > 0)
-                for q, k in enumerate(WIDTHS):
-                    gk = back[:, q * FILTERS : (q + 1) * FILTERS]
-                    g[f"c{k}"], g[f"f{k}"] = gk.sum(0), np.zeros_like(self.p[f"f{k}"])
-                    for j in range(k):
-                        byte = np.take_along_axis(xb, at[q] + j, 1)
-                        g[f"f{k}"][j] = np.einsum("nfe,nf->ef", self.p["e"][byte], gk)
-                        np.add.at(g["e"], byte, gk[:, :, None] * self.p[f"f{k}"][j].T[None])
+                some = order[i : i + BATCH]
+                g = self.gradients(x[some], y[some])
                 t += 1
                 for k, a in self.p.items():
                     m[k] += 0.1 * (g[k] - m[k])
@@ -108,73 +150,81 @@ class Net:
                     a -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-7)
 
 
-def predict(net: Net | None, lines: list[bytes]) -> tuple[list[str], np.ndarray]:
-    """Language and probability of each whole text; `und` and 0 for a text without a letter, or without a network."""
+def garbled(text: str, r: np.random.Generator) -> str:
+    """Letters that are no language, as long as the text: its own, mixed up, or a to z by chance, cut into words of any length."""
+    if r.random() < 0.5:
+        letters = [c for c in text if c.isalpha()]
+        r.shuffle(letters)
+        left = iter(letters)
+        return "".join(next(left) if c.isalpha() else c for c in text)
+    return "".join(chr(97 + c) if c < 26 else " " for c in r.integers(0, int(r.integers(26, 33)), len(text)).tolist())
+
+
+def predict(net: Net | None, lines: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and its probability of each whole text, and the probability that it is in no language; `und`, 0 and 1 for a text without a letter, or without a network."""
     has = np.array([bool(_LETTER.search(x.decode("utf-8", "replace"))) for x in lines], bool)
     if net is None or not has.any():
-        return [UND] * len(lines), np.zeros(len(lines))
+        return [UND] * len(lines), np.zeros(len(lines)), np.ones(len(lines))
     some = [x for x, k in zip(lines, has) if k]
-    total = np.zeros((len(some), len(net.langs)))
-    weight = np.zeros(len(some))
-    at = 0
-    while at < len(some):  # about 2 MB of text at once
-        to, size = at, 0
-        while to < len(some) and (to == at or size + len(some[to]) < 2 << 20):
-            size += len(some[to])
-            to += 1
-        x, owner, left = windows(some[at:to])
-        p = net.probabilities(x)
-        np.add.at(total, owner + at, p * left[:, None])
-        np.add.at(weight, owner + at, left)
-        at = to
-    p = total / weight[:, None]
-    best = p.argmax(1)
-    out, score = np.full(len(lines), UND, object), np.zeros(len(lines))
+    total, weight = np.zeros((len(some), len(net.langs) + 1)), np.zeros(len(some))
+    for x, owner, left in batches_of_windows(some):
+        np.add.at(total, owner, net.probabilities(x) * left[:, None])
+        np.add.at(weight, owner, left)
+    p = np.minimum(total / weight[:, None], 1.0)
+    best = p[:, :-1].argmax(1)
+    out, score, none = np.full(len(lines), UND, object), np.zeros(len(lines)), np.ones(len(lines))
     out[has] = np.array(net.langs, object)[best]
-    score[has] = np.minimum(p[np.arange(len(best)), best], 1.0)
-    return out.tolist(), score
+    score[has], none[has] = p[np.arange(len(best)), best], p[:, -1]
+    return out.tolist(), score, none
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Net | None:
     """A network learned from the text and lang of documents whose crc32 remainder modulo 3 is not 1; None without any.
 
-    About `sample` documents take part, an equal share of each language as far as it has them, chosen by hash. Of each, CUTS pieces
-    spread over the whole text go to the driver: a few MB, whatever the input.
+    About `sample` windows of WINDOW characters take part, an equal share of each language as far as it has them, chosen by hash among all windows of
+    the whole texts: a few MB on the driver, whatever the input.
     """
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     body = body.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (remainder(F.col("doc_id"), 3) != 1))
-    counts = {r[0]: r[1] for r in body.groupBy("lang").count().collect()}
+    body = body.withColumn("n", F.ceil(F.length("text") / WINDOW).cast("int"))
+    counts = {r[0]: r[1] for r in body.groupBy("lang").agg(F.sum("n")).collect()}
     if not counts:
         return None
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, sample / len(counts) / n).otherwise(share)
-    room = F.greatest(F.length("text") - WINDOW, F.lit(0))
-    cut = lambda k: F.substring("text", F.floor(room * F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(1009)) / 1009).cast("int") + 1, F.lit(WINDOW))
-    rows = body.where(hash_below(share, "doc_id")).select("doc_id", "lang", *(cut(k).alias(f"t{k}") for k in range(CUTS))).collect()
-    rows.sort(key=lambda r: (((r.doc_id or 0) * 0x9E3779B97F4A7C15) & (2**64 - 1), r.lang, r.t0))
+    chosen = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: hash_below(share, F.col("doc_id"), i))
+    spread = body.withColumn("chosen", chosen).where(F.size("chosen") > 0).select("doc_id", "lang", "text", F.explode("chosen").alias("i"))
+    rows = spread.select("doc_id", "lang", F.expr(f"substring(text, i * {WINDOW} + 1, {WINDOW})").alias("t"), "i").collect()
+    rows.sort(key=lambda r: (((r.doc_id or 0) * 0x9E3779B97F4A7C15 + r.i * 0x1000001) & (2**64 - 1), r.lang, r.t))
     langs = sorted({r.lang for r in rows}, key=lambda s: s.encode())
-    pairs = list(dict.fromkeys((t, r.lang) for r in rows for t in (r.t0, r.t1, r.t2)))
-    # Half of the cuts once more at 24 characters, so that short texts are known too.
-    pairs += [(t[len(t) // 2 : len(t) // 2 + 24], lang) for t, lang in pairs[::2] if len(t) > 48]
-    x, owner, left = windows([t.encode() for t, _ in pairs])
-    y = np.array([langs.index(lang) for _, lang in pairs])[owner]
+    place = {lang: k for k, lang in enumerate(langs)}
+    pairs = list(dict.fromkeys((r.t, place[r.lang]) for r in rows if _LETTER.search(r.t)))
+    r = np.random.default_rng(4)
+    for k, (t, y) in enumerate(pairs[::2]):
+        n = LENGTHS[k % len(LENGTHS)]
+        if len(t) > n:
+            at = int(r.integers(0, len(t) - n + 1))
+            pairs.append((t[at : at + n], y))
+    pairs += [(garbled(t, r), len(langs)) for t, _ in pairs[::3]]
+    x, owner, left = windows([b" " + t.encode() for t, _ in pairs])
+    y = np.array([y for _, y in pairs], np.int64)[owner]
     keep = left > 1
     net = Net(langs)
     net.learn(x[keep], y[keep])
     return net
 
 
-def label(docs: DataFrame, net: Net | None, lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:
-    """docs with the predicted language and its probability added, in columns of the given names."""
+def label(docs: DataFrame, net: Net | None, lang: str = "lang_pred", score: str = "lang_score", none: str = "no_lang") -> DataFrame:
+    """docs with the predicted language, its probability and that of no language added, in columns of the given names."""
     held = docs.sparkSession.sparkContext.broadcast(net)  # some KB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            names, found = predict(held.value, texts(b.column("text")))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(found)], [*b.schema.names, lang, score])
+            names, *found = predict(held.value, texts(b.column("text")))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), *map(pa.array, found)], [*b.schema.names, lang, score, none])
 
-    return docs.mapInArrow(run, wider(docs, **{lang: StringType(), score: DoubleType()}))
+    return docs.mapInArrow(run, wider(docs, **{lang: StringType(), score: DoubleType(), none: DoubleType()}))
 
 
 def language(docs: DataFrame) -> DataFrame:
@@ -190,7 +240,7 @@ def language(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            lang, score = predict(held.value, texts(b.column("text")))
+            lang, score, _ = predict(held.value, texts(b.column("text")))
             yield pa.record_batch({"doc_id": b.column("doc_id"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score)})
 
     named = body.mapInArrow(run, "doc_id long, lang_pred string, score double")

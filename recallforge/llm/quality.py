@@ -19,6 +19,8 @@ from pyspark.sql.types import DoubleType
 from recallforge.llm.common import hash_below, pieces, remainder, texts, wider
 
 BUCKETS, GAIN = 1 << 18, 24.0
+#: A text of more bytes is gone through in parts: finding its features takes about 40 bytes for each of its own.
+LONG = 1 << 20
 #: At most about so many labelled rows of each class are learned from (a random sample by hash beyond it).
 SAMPLE = 2000
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 0.002, 0.1
@@ -85,9 +87,40 @@ def grams(lines: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield (mixed[inside] >> np.uint64(20)).astype(np.int64) & (BUCKETS - 1), owner[:last][inside]
 
 
+def _parts(line: bytes, size: int) -> Iterator[tuple[bytes, int, int]]:
+    """A long text in parts of about `size` bytes that end at white space, each with the word before and the two words after it: (bytes, words before, own words)."""
+    at = 0
+    while at < len(line):
+        to = at + size
+        while to < len(line) and not _SPACE[line[to]]:
+            to += 1
+        own, step = line[at:to], 4096  # the outermost word found on either side may be cut, unless the text ends there
+        while len(before := line[max(0, at - step) : at].split()) < 2 and step < at:
+            step *= 4
+        step = 4096
+        while len(after := line[to : to + step].split()) < 3 and to + step < len(line):
+            step *= 4
+        before = before[-1:]
+        yield b" ".join([*before, own, *after[:2]]), len(before), len(own.split())
+        at = to
+
+
+def all_grams(lines: list[bytes], size: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """grams() of the texts; one of more than `size` bytes (LONG) is gone through in parts, with the same features as in one."""
+    size = size or LONG
+    short = [x if len(x) <= size else b"" for x in lines]
+    yield from grams(short)
+    for i, line in enumerate(lines):
+        if len(line) > size:
+            for part, before, own in _parts(line, size):
+                for slots, _ in grams([part]):
+                    mine = slots[before : before + own]
+                    yield mine, np.full(len(mine), i)
+
+
 def features(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Slots of all features of all texts, one text after the other, and the number of slots of each text."""
-    got = list(grams(lines))
+    got = list(all_grams(lines))
     if not got:
         return np.zeros(0, np.int64), np.zeros(len(lines), np.int64)
     slots, who = (np.concatenate(x) for x in zip(*got))
@@ -97,7 +130,7 @@ def features(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def scores(lines: list[bytes], weights: np.ndarray) -> np.ndarray:
     """Probability of label 1 for each text; weights has the bias last."""
     total, sizes = np.zeros(len(lines)), np.zeros(len(lines))
-    for slots, who in grams(lines):
+    for slots, who in all_grams(lines):
         total += np.bincount(who, weights=weights[slots], minlength=len(lines))
         sizes += np.bincount(who, minlength=len(lines))
     z = weights[-1] + GAIN * total / np.maximum(sizes, 1)

@@ -32,6 +32,76 @@ def test_quality_features_against_a_plain_loop():
     assert set(a[:5].tolist()) <= set(b.tolist())
 
 
+def test_a_long_text_has_the_features_of_its_parts():
+    r = np.random.default_rng(6)
+    for size in (40, 100, 1000):
+        line = b" ".join(bytes(r.choice(list(b"abAB12.,"), r.integers(1, 9)).tolist()) for _ in range(300)) + b"  x x x \n" + b"w" * 90 + b" end"
+        whole, parts = quality.features([b"a b", line, b"c"]), list(quality.all_grams([b"a b", line, b"c"], size))
+        for i in range(3):
+            mine = np.concatenate([slots[who == i] for slots, who in parts])
+            first = int(whole[1][:i].sum())
+            assert sorted(mine.tolist()) == sorted(whole[0][first : first + whole[1][i]].tolist())
+
+
+def test_features_against_plain_hashes():
+    """Words, pairs and shapes one by one, hashed with Python's own integers."""
+    mask, power = (1 << 64) - 1, 0x100000001B3
+
+    def mix(x):
+        x = (x ^ x >> 29) * 0x9E3779B97F4A7C15 & mask
+        return x ^ x >> 32
+
+    span = lambda w: mix(sum((b + 1) * pow(power, i, 1 << 64) for i, b in enumerate(w)) & mask)
+
+    def shape(word):
+        marks = ["a" if 97 <= b <= 122 or b >= 128 else "A" if 65 <= b <= 90 else "0" if 48 <= b <= 57 else chr(b) for b in word]
+        return "".join(m for i, m in enumerate(marks) if i == 0 or m not in "aA0" or marks[i - 1] != m).encode()
+
+    line = "Éa 12ab| the the THE!! Mixed9Case-99 of%%% of%%% x".encode()
+    words = line.split()
+    form = [12345 if i and w == words[i - 1] else span(shape(w)) for i, w in enumerate(words)]
+    want = []
+    for salt, values, n in ((1, [span(w) for w in words], 1), (2, [span(w) for w in words], 2), (3, form, 1), (4, form, 2), (5, form, 3)):
+        for i in range(len(words) - n + 1):
+            h = salt
+            for v in values[i : i + n]:
+                h = mix((h * 0x9E3779B97F4A7C15 + v) & mask)
+            want.append((h >> 20) & quality.BUCKETS - 1)
+    assert quality.features([line])[0].tolist() == want
+
+
+def test_ftrl_and_scores_against_a_plain_loop():
+    lines = [b"good clean text here", b"BUY NOW!!! $$$ 99", b"another clean line of text", b"WIN $$$ now!!!", b""] * 4
+    labels = [1, 0, 1, 0, 1] * 4
+    rows = []
+    for line, y in zip(lines, labels):
+        slots = quality.features([line])[0]
+        i, c = np.unique(slots, return_counts=True)
+        rows.append((i, quality.GAIN * c / max(len(slots), 1), y))
+    weight = {0: 1.0, 1: 0.7}
+    z, n = Counter(), Counter()
+
+    def solve(i):
+        return 0.0 if abs(z[i]) <= quality.L1 else -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for slots, values, y in rows:
+            x = {**dict(zip(slots.tolist(), values.tolist())), quality.BUCKETS: 1.0}
+            w = {i: solve(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - y) * x[i] * weight[y]
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * w[i]
+                n[i] += g * g
+    got = quality.train(rows, weight)
+    assert all(math.isclose(got[i], solve(i), rel_tol=1e-9, abs_tol=1e-12) for i in range(quality.BUCKETS + 1)) and (got != 0).sum() > 10
+    for line, score in zip(lines, quality.scores(lines, got)):
+        slots = quality.features([line])[0].tolist()
+        total = got[-1] + quality.GAIN * sum(got[i] for i in slots) / max(1, len(slots))
+        assert math.isclose(score, 1 / (1 + math.exp(-total)), rel_tol=1e-9)
+    assert quality.scores(lines, got)[0] > 0.5 > quality.scores(lines, got)[1]
+
+
 def test_quality_odd_rows(spark, docs):
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0), (4, 1, 0), (5, None, 0), (None, 1, 0), (7, 5, 1)], "doc_id long, quality int, text int")
     got = quality.quality(docs(*ODD), labels).collect()
@@ -62,10 +132,46 @@ def test_language_odd_rows(docs):
 def test_every_byte_is_in_some_window():
     for n in (0, 1, 251, 252, 253, 254, 255, 256, 700, 5000):
         line = bytes(97 + i % 26 for i in range(n))
-        w, owner, left = langid.windows([b"x", line, b"y"])
+        w, owner, left = langid.windows([b" x", b" " + line, b" y"])
         mine = w[owner == 1]
         grams = {bytes(r[i : i + 4]) for r in mine for i in range(253)}
         assert all((b" " + line)[i : i + 4] in grams for i in range(n - 2)) and len(mine) == 1 + max(0, -(-(n + 1 - 256) // 253))
+        for size in (300, 600):  # and a long text's parts have the same windows
+            parts = list(langid.batches_of_windows([b"x", line, b"y", line], size))
+            for i in (1, 3):
+                assert np.concatenate([x[o == i] for x, o, _ in parts]).tolist() == mine.tolist()
+
+
+def test_convolution_and_gradients_of_the_language_net():
+    net, r = langid.Net(["a", "b", "c"]), np.random.default_rng(3)
+    net.p = {k: a.astype(float) for k, a in net.p.items()}
+    x, y = r.integers(0, 256, (3, 12)).astype(np.uint8), np.array([0, 2, 3])
+
+    def plain():
+        out = []
+        for row in x:
+            h = []
+            for k in langid.WIDTHS:
+                for f in range(langid.FILTERS):
+                    at = [net.p[f"c{k}"][f] + sum(net.p["e"][row[i + j]] @ net.p[f"f{k}"][j][:, f] for j in range(k)) for i in range(12 - k + 1)]
+                    h.append(max(0.0, max(at)))
+            z = np.exp(np.array(h) @ net.p["w"] + net.p["b"])
+            out.append(z / z.sum())
+        return np.array(out)
+
+    assert np.allclose(net.probabilities(x), plain())
+    loss = lambda: -np.log(net.probabilities(x)[np.arange(3), y]).mean()
+    grads = net.gradients(x, y)
+    for k, g in grads.items():
+        for at in np.argsort(-np.abs(g), axis=None)[:3]:
+            at = np.unravel_index(at, g.shape)
+            old = net.p[k][at]
+            net.p[k][at] = old + 1e-6
+            up = loss()
+            net.p[k][at] = old - 1e-6
+            down = loss()
+            net.p[k][at] = old
+            assert abs((up - down) / 2e-6 - g[at]) < 1e-5
 
 
 def gradient_net():

@@ -2,6 +2,7 @@ import corpus_pipeline as cp
 from recallforge.llm import queries
 from recallforge.llm.common import table
 from tests.conftest import SMALL
+from tests.llm.conftest import ODD
 
 
 def test_stages_filter_and_keep_columns(spark):
@@ -30,18 +31,42 @@ def test_one_of_each_with_nulls_and_repeats(docs, spark):
     assert got.columns == d.columns and sorted(str(r.doc_id) for r in got.collect()) == ["1", "9", "None"]
 
 
-def test_long_texts_in_doubt_are_rejected_and_short_ones_stay(spark, monkeypatch):
+def test_garbled_and_mixed_texts_go_and_clean_ones_stay(spark, monkeypatch):
     import random
 
-    docs, r = table(spark, SMALL, "documents"), random.Random(1)
-    junk = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") if r.random() > 0.15 else " " for _ in range(n)) for n in (30, 100, 300, 1000, 3000, 10_000)]
-    extra = spark.createDataFrame([(10_000 + i, t, None, "src0", len(t)) for i, t in enumerate(junk)], docs.schema)
+    import numpy as np
+
+    docs, r = table(spark, "/root/testdata/sf0.01", "documents"), random.Random(1)
     net = cp.langid.fit(docs)
     monkeypatch.setattr(cp.langid, "fit", lambda d: net)
-    score = cp.langid.predict(net, [t.encode() for t in junk])[1]
-    got = {r.doc_id for r in cp.keep_language(spark, extra, SMALL).collect()}
-    assert got == {10_000 + i for i, t in enumerate(junk) if score[i] >= (0.5 if len(t) >= cp.SHORT else 0.3)}
-    assert 10_000 in got and 10_004 not in got and 10_005 not in got
+    rows = [x for x in docs.where("length(text) > 1200").orderBy("doc_id").collect()]
+    by = {}
+    for x in rows:
+        by.setdefault(x.lang, []).append(x.text)
+    chance = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") if r.random() > 0.15 else " " for _ in range(n)) for n in (300, 1000, 3000, 10_000) * 5]
+    mixed_up = [cp.langid.garbled(x.text[:n], np.random.default_rng(i)) for i, x in enumerate(rows[:20]) for n in (400, 1200)]
+    langs = sorted(by)
+    quarters = ["".join(by[k][i][:300] for k in langs) for i in range(min(map(len, by.values())))]
+    clean = [x.text[:n] for x in rows[:60] for n in (60, 120, 300, 1200)]
+    make = lambda texts, first: spark.createDataFrame([(first + i, t, None, "src0", len(t)) for i, t in enumerate(texts)], docs.schema)
+    share = lambda texts: cp.keep_language(spark, make(texts, 0), SMALL).count() / len(texts)
+    assert share(chance) <= 0.1 and share(mixed_up) <= 0.1 and share(clean) >= 0.99
+    assert len(langs) >= 4 and len(quarters) >= 5 and share(quarters) <= 0.2
+    assert share([None or "", "12 34 56", "!!"]) == 0
+
+
+def test_stages_on_odd_tables(spark, docs, tmp_path):
+    """Every stage on nulls, empty, very long and repeated texts with clashing column names, and on an empty table."""
+    d = docs(*ODD, "plain words of a text " * 20_000, ids=[1, 1, None, *range(8)])
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, None, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in cp.STAGES:
+        got = stage(spark, d, str(tmp_path))
+        rows = got.collect()
+        none = stage(spark, d.where("false"), str(tmp_path))
+        assert none.collect() == [] and none.columns == got.columns
+        if name != "best-fit packing":
+            assert got.columns == d.columns and len(rows) <= 3 * d.count()
 
 
 def test_run(spark):
