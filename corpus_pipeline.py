@@ -9,30 +9,29 @@ from pyspark.sql import functions as F
 from recallforge.llm import langid, mixing, packing, quality, simhash
 from recallforge.llm.common import cut, free_name, scratch, table
 
-#: A text of fewer than SHORT bytes (one window of the classifier) is rejected if its likeliest language is less likely than OVER_CHANCE times chance (one
-#: in the number of languages); a longer one has the evidence, and is rejected below one half, or a third of the way from chance to certainty if that is more.
-OVER_CHANCE, SHORT = 1.2, 256
+#: A text is rejected if it is in no language with at least this probability: the second bar is for texts of fewer than SHORT bytes, which say less.
+NO_LANGUAGE, SURELY_NONE, SHORT = 0.5, 0.98, 256
+#: And one of SHORT bytes or more if no language has this share of it.
+SHARE = 0.5
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores at 0.5 or more."""
+    """Documents that the quality classifier scores at 0.5 or more; a null or empty text has the score of the bias. Without a label all stay."""
     weights = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     score = free_name(docs, "_quality")
     return quality.classify(docs, weights, score).where(F.col(score) >= 0.5).drop(score)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; rejected are those without a letter, long ones in doubt and short ones hardly above chance.
+    """Documents whose language is recognised; rejected are null texts and those without a letter, those whose letters are no language, and long ones of mixed languages.
 
-    With a single learned language there is nothing to be in doubt about, and only texts without a letter are rejected.
+    Short texts, which say little, are rejected only if they are surely none. Without a language to learn every document is rejected.
     """
-    lang, score = free_name(docs, "_lang"), free_name(docs, "_score")
-    net = langid.fit(docs)
-    chance = 1 / len(net.langs) if net else 1.0
-    loose, strict = (min(0.5, OVER_CHANCE * chance), max(0.5, chance + (1 - chance) / 3)) if chance < 1 else (0.0, 0.0)
-    floor = F.when(F.octet_length("text") < SHORT, loose).otherwise(strict)
-    named = langid.label(docs, net, lang, score)
-    return named.where((F.col(lang) != langid.UND) & (F.col(score) >= floor)).drop(lang, score)
+    lang, score, none = (free_name(docs, n) for n in ("_lang", "_score", "_none"))
+    named = langid.label(docs, langid.fit(docs), lang, score, none)
+    short = F.octet_length("text") < SHORT
+    known = F.when(short, F.col(none) < SURELY_NONE).otherwise((F.col(none) < NO_LANGUAGE) & (F.col(score) >= SHARE * (1 - F.col(none))))
+    return named.where((F.col(lang) != langid.UND) & known).drop(lang, score, none)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +45,12 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; those without words, null texts among them, are never taken."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents packed into sequences of 1024 tokens."""
+    """Pieces of the documents packed into sequences of 1024 tokens; a null text is the end id alone."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
