@@ -60,6 +60,7 @@ def test_stages_on_odd_tables(spark, docs, tmp_path):
     d = docs(*ODD, "plain words of a text " * 20_000, ids=[1, 1, None, *range(8)])
     labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, None, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
+    d.write.parquet(str(tmp_path / "documents.parquet"))
     for name, stage in cp.STAGES:
         got = stage(spark, d, str(tmp_path))
         rows = got.collect()

@@ -267,27 +267,27 @@ def test_the_tree_knows_its_examples_and_uses_neighbours():
         assert f"({html.FEATURES.index(name)}, " in str(tree)
 
 
-P = ["The council met on Tuesday to decide how the old harbour should be used once the last ferries have left for the new terminal.", "Most of the speakers, among them two former mayors, asked for more time, since the plans had been shown to the public only a week before.", "A vote was put off until the autumn."]
-PARAGRAPHS = "".join(f"<p>{x}</p>" for x in P)
+PROSE = ["The council met on Tuesday to decide how the old harbour should be used once the last ferries have left for the new terminal.", "Most of the speakers, among them two former mayors, asked for more time, since the plans had been shown to the public only a week before.", "A vote was put off until the autumn."]
+PARAGRAPHS = "".join(f"<p>{x}</p>" for x in PROSE)
 MENU = "".join(f'<li><a href="/{x}">{x}</a></li>' for x in ("Home", "News", "Sport", "Local news", "About us", "Contact"))
 COMMENTS = "".join(f"<div><b>{x}</b><p>I think that they should have asked us first, and not only {x}, before any of this was planned.</p></div>" for x in ("Ann", "Bob", "Cyd"))
 TITLE = "What becomes of the harbour"
 #: (page, its main text) of templates that have little in common.
 TEMPLATES = {
-    "wrapper named after its sidebar": (f'<body><nav><ul>{MENU}</ul></nav><div class="content with-sidebar"><article><h1>{TITLE}</h1>{PARAGRAPHS}</article><div class="sidebar"><p>Weather: rain until the evening, then clear.</p></div></div></body>', [TITLE, *P]),
-    "body of the page that has a sidebar": (f'<body><div id="menu"><ul>{MENU}</ul></div><div class="has-sidebar"><h1>{TITLE}</h1>{PARAGRAPHS}</div><div id="right-sidebar"><p>Weather: rain until the evening.</p></div><div class="footer">Copyright 2024</div></body>', [TITLE, *P]),
-    "header inside the article": (f'<article><div class="post-header"><h1>{TITLE}</h1></div>{PARAGRAPHS}<div class="share-buttons"><a href="a">Mail</a> <a href="b">Print</a></div></article>', [TITLE, *P]),
-    "search is its subject": (f'<body><div class="search-engine-intro"><p>{P[0]} {P[1]}</p></div><form class="search"><p>Search the site</p></form></body>', [f"{P[0]} {P[1]}"]),
-    "quotes inside a bare attribute": (f"<article><h1 id=it's>{TITLE}</h1><p class=a'b>{P[0]}</p><p title=\"x > y\">{P[1]}</p></article><footer>end</footer>", [TITLE, P[0], P[1]]),
-    "tables": (f'<table width=100%><tr><td class="nav"><a href="1">Home</a><br><a href="2">Links</a><td><font size=4>{TITLE}</font><p>{P[0]}<p>{P[1]}<p>{P[2]}</td></tr><tr><td colspan=2><a href="t">Terms</a> | <a href="p">Privacy</a></td></tr></table>', [TITLE, *P]),
-    "plain divs": (f'<div><a href="/">Home</a> <a href="/n">News</a> <a href="/s">Sport</a></div><div><h1>{TITLE}</h1><div>{P[0]}</div><div>{P[1]}</div><div>{P[2]}</div></div><div><a href="/t">Terms</a> <a href="/p">Privacy</a></div>', [TITLE, *P]),
-    "many comments": (f'<main><h1>{TITLE}</h1>{PARAGRAPHS}<section class="comment-list"><h2>3 comments</h2>{COMMENTS * 4}</section></main>', [TITLE, *P]),
-    "comments as articles": (f'<article class="post"><h1>{TITLE}</h1>{PARAGRAPHS}</article><div id="comments">' + "".join(f'<article class="comment"><p>{x} I do not agree at all with this, and never have.</p></article>' for x in "abc") + "</div>", [TITLE, *P]),
-    "cards of other articles": (f'<main><article><h1>{TITLE}</h1>{PARAGRAPHS}</article><div class="related-posts"><article><a href="1">Ferries are late again</a></article><article><a href="2">New terminal opens</a></article></div></main>', [TITLE, *P]),
-    "a form around the whole page": (f'<body><form id="aspnetForm" action="x"><div class="topbar"><a href="/">Home</a> <a href="/login">Log in</a></div><div id="main"><h1>{TITLE}</h1>{PARAGRAPHS}</div></form></body>', [TITLE, *P]),
-    "byline and links in the text": (f'<article><h1>{TITLE}</h1><p>By <a href="/a">Ann Lee</a></p><p>{P[0]} <a href="x">More on this</a>.</p>{PARAGRAPHS[len(P[0]) + 7:]}<ul>{MENU}</ul></article>', [TITLE, "By Ann Lee", f"{P[0]} More on this.", *P[1:]]),
-    "notices and adverts in the text": (f'<div class="cookie-banner"><p>We use cookies to improve this site.</p></div><div role="main"><h1>{TITLE}</h1><p>{P[0]}</p><div class="ad-slot"><p>Cheap ferries to the islands, book now and save.</p></div><p>{P[1]}</p><div class="newsletter-signup-box"><p>Get our letter every week.</p></div><p>{P[2]}</p></div>', [TITLE, *P]),
-    "unclosed elements": (f'<article><svg><path d="M0 0"><h1>{TITLE}</h1><button>Share<p>{P[0]}</p><p hidden>not shown</p><div style="display: none"><p>nor this</p></div><p>{P[1]}<p>{P[2]}', [TITLE, "Share", *P]),
+    "wrapper named after its sidebar": (f'<body><nav><ul>{MENU}</ul></nav><div class="content with-sidebar"><article><h1>{TITLE}</h1>{PARAGRAPHS}</article><div class="sidebar"><p>Weather: rain until the evening, then clear.</p></div></div></body>', [TITLE, *PROSE]),
+    "body of the page that has a sidebar": (f'<body><div id="menu"><ul>{MENU}</ul></div><div class="has-sidebar"><h1>{TITLE}</h1>{PARAGRAPHS}</div><div id="right-sidebar"><p>Weather: rain until the evening.</p></div><div class="footer">Copyright 2024</div></body>', [TITLE, *PROSE]),
+    "header inside the article": (f'<article><div class="post-header"><h1>{TITLE}</h1></div>{PARAGRAPHS}<div class="share-buttons"><a href="a">Mail</a> <a href="b">Print</a></div></article>', [TITLE, *PROSE]),
+    "search is its subject": (f'<body><div class="search-engine-intro"><p>{PROSE[0]} {PROSE[1]}</p></div><form class="search"><p>Search the site</p></form></body>', [f"{PROSE[0]} {PROSE[1]}"]),
+    "quotes inside a bare attribute": (f"<article><h1 id=it's>{TITLE}</h1><p class=a'b>{PROSE[0]}</p><p title=\"x > y\">{PROSE[1]}</p></article><footer>end</footer>", [TITLE, PROSE[0], PROSE[1]]),
+    "tables": (f'<table width=100%><tr><td class="nav"><a href="1">Home</a><br><a href="2">Links</a><td><font size=4>{TITLE}</font><p>{PROSE[0]}<p>{PROSE[1]}<p>{PROSE[2]}</td></tr><tr><td colspan=2><a href="t">Terms</a> | <a href="p">Privacy</a></td></tr></table>', [TITLE, *PROSE]),
+    "plain divs": (f'<div><a href="/">Home</a> <a href="/n">News</a> <a href="/s">Sport</a></div><div><h1>{TITLE}</h1><div>{PROSE[0]}</div><div>{PROSE[1]}</div><div>{PROSE[2]}</div></div><div><a href="/t">Terms</a> <a href="/p">Privacy</a></div>', [TITLE, *PROSE]),
+    "many comments": (f'<main><h1>{TITLE}</h1>{PARAGRAPHS}<section class="comment-list"><h2>3 comments</h2>{COMMENTS * 4}</section></main>', [TITLE, *PROSE]),
+    "comments as articles": (f'<article class="post"><h1>{TITLE}</h1>{PARAGRAPHS}</article><div id="comments">' + "".join(f'<article class="comment"><p>{x} I do not agree at all with this, and never have.</p></article>' for x in "abc") + "</div>", [TITLE, *PROSE]),
+    "cards of other articles": (f'<main><article><h1>{TITLE}</h1>{PARAGRAPHS}</article><div class="related-posts"><article><a href="1">Ferries are late again</a></article><article><a href="2">New terminal opens</a></article></div></main>', [TITLE, *PROSE]),
+    "a form around the whole page": (f'<body><form id="aspnetForm" action="x"><div class="topbar"><a href="/">Home</a> <a href="/login">Log in</a></div><div id="main"><h1>{TITLE}</h1>{PARAGRAPHS}</div></form></body>', [TITLE, *PROSE]),
+    "byline and links in the text": (f'<article><h1>{TITLE}</h1><p>By <a href="/a">Ann Lee</a></p><p>{PROSE[0]} <a href="x">More on this</a>.</p>{PARAGRAPHS[len(PROSE[0]) + 7:]}<ul>{MENU}</ul></article>', [TITLE, "By Ann Lee", f"{PROSE[0]} More on this.", *PROSE[1:]]),
+    "notices and adverts in the text": (f'<div class="cookie-banner"><p>We use cookies to improve this site.</p></div><div role="main"><h1>{TITLE}</h1><p>{PROSE[0]}</p><div class="ad-slot"><p>Cheap ferries to the islands, book now and save.</p></div><p>{PROSE[1]}</p><div class="newsletter-signup-box"><p>Get our letter every week.</p></div><p>{PROSE[2]}</p></div>', [TITLE, *PROSE]),
+    "unclosed elements": (f'<article><svg><path d="M0 0"><h1>{TITLE}</h1><button>Share<p>{PROSE[0]}</p><p hidden>not shown</p><div style="display: none"><p>nor this</p></div><p>{PROSE[1]}<p>{PROSE[2]}', [TITLE, "Share", *PROSE]),
 }
 
 
