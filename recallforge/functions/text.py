@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Everything that is neither alphabetic nor a number separates tokens.
-TOKEN_BREAK = r"[^\p{IsAlphabetic}\p{N}]+"
+TOKEN_BREAK = r"[^\p{IsAlphabetic}\p{N}]++"
 #: Unicode white space.
 SPACE = r"[\s\x0B\x85\p{Z}]+"
 CHUNK_TOKENS = 48
@@ -31,6 +31,10 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, TOKEN_BREAK), lambda t: t != ""), F.lower)
 
 
+def token_count(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, TOKEN_BREAK), lambda t: t != ""))
+
+
 def normalised_query(text: Column) -> Column:
     """Tokens with synonyms replaced, joined by a space. Only queries are normalised, never documents."""
     pairs = [F.lit(x) for pair in SYNONYMS.items() for x in pair]

@@ -7,13 +7,15 @@ scoring is then one projection over the scan, and only the candidates are sorted
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallforge.functions.text import let, tokens
-from recallforge.functions.vector import cosine, literal
+from recallforge.functions.text import let, token_count, tokens
+from recallforge.functions.vector import cosine, cosine_to, literal
 
 K1, B, RRF, EPSILON = 1.2, 0.75, 60, 1.1920929e-07
 MODES = {"vector": "vector", "vec": "vector", "text": "text", "bm25": "text", "lexical": "text", "hybrid": "hybrid", "both": "hybrid"}
@@ -38,14 +40,16 @@ class CorpusStats:
     df: dict[str, int]
 
 
-def with_term_counts(entries: DataFrame, query: list[str], text: str = "text") -> DataFrame:
-    """entries with dl (tokens of the text) and tf (count of each query token)."""
+def with_term_counts(entries: DataFrame, query: list[str], text: str = "text", found: str | None = None) -> DataFrame:
+    """entries with dl (tokens of the text) and tf (count of each query token), and with the tokens themselves in a column `found` if it is named."""
     wanted = F.array(*map(F.lit, query)).cast("array<string>")
     per_token = lambda hits: F.transform(wanted, lambda q: F.size(F.filter(hits, lambda t: t == q)))
-    both = let(tokens(F.col(text)), lambda found: F.struct(F.coalesce(F.size(found), F.lit(0)).alias("dl"), let(F.filter(found, lambda t: F.array_contains(wanted, t)), per_token).alias("tf")))
+    both = let(tokens(F.col(text)), lambda all_: F.struct(
+        F.coalesce(F.size(all_), F.lit(0)).alias("dl"), let(F.filter(all_, lambda t: F.array_contains(wanted, t)), per_token).alias("tf"), *([all_.alias(found)] if found else [])
+    ))
     # A generator is a fence for the optimizer: without it a later filter on the score would repeat all of this.
     spread = entries.select("*", F.explode(F.array(both)).alias("counted_"))
-    return spread.select(*entries.columns, "counted_.dl", "counted_.tf")
+    return spread.select(*entries.columns, "counted_.*")
 
 
 def corpus_stats(counted: DataFrame, query: list[str]) -> CorpusStats:
@@ -74,6 +78,28 @@ def text_scores(entries: DataFrame, query: list[str], keep: Column | None = None
     return (counted if keep is None else counted.where(keep)).withColumn("bm25", bm25(stats, query)).drop("tf", "dl")
 
 
+@contextmanager
+def held_scores(entries: DataFrame, query: list[str], *columns: str, keep: Column | None = None, text: str = "text") -> Iterator[DataFrame]:
+    """(columns, bm25) of the entries that keep admits and that hold a query token, for use inside the with block.
+
+    Texts are tokenized once: the narrow rows with their counts are kept, spilled to disk where memory is short, and both the statistics of all
+    entries and the scores are read from them. A lost block is made again from the entries.
+    """
+    admitted = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    held = with_term_counts(entries, query, text).select(*columns, admitted.alias("kept_"), "dl", "tf").persist()
+    try:
+        stats = corpus_stats(held, query)
+        yield held.where("kept_").select(*columns, bm25(stats, query).alias("bm25")).where("bm25 > 0")
+    finally:
+        held.unpersist()
+
+
+def text_top(entries: DataFrame, query: list[str], k: int, *columns: str, key: str = "id", keep: Column | None = None) -> DataFrame:
+    """The k entries of the greatest BM25, then key: (key, columns, bm25). The k rows pass through the driver."""
+    with held_scores(entries, query, key, *columns, keep=keep) as scored:
+        return entries.sparkSession.createDataFrame(top(scored, k, "bm25", key).collect(), scored.schema)
+
+
 def postings(entries: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
     """(token, key, f, dl): how often each token stands in each entry, and the entry's length. Counted within the entry, so nothing is shuffled."""
     def runs(t: Column) -> Column:
@@ -81,22 +107,28 @@ def postings(entries: DataFrame, text: str = "text", key: str = "id") -> DataFra
         first = F.filter(F.transform(t, lambda x, i: F.when((i == 0) | (F.get(t, i - 1) != x), i)), lambda i: i.isNotNull())
         return let(first, lambda s: F.transform(s, lambda at, i: F.struct(F.get(t, at).alias("token"), (F.coalesce(F.get(s, i + 1), F.size(t)) - at).alias("f"), F.size(t).alias("dl"))))
 
-    found = entries.select(F.col(key).alias("key"), F.explode(let(F.array_sort(tokens(F.col(text))), runs)).alias("p"))
+    found = entries.select(F.col(key).alias("key"), F.explode(let(F.sort_array(tokens(F.col(text))), runs)).alias("p"))
     return found.select("p.token", "key", "p.f", "p.dl")
 
 
 def text_search_many(entries: DataFrame, queries: DataFrame, top_k: int = 10, text: str = "text", key: str = "id") -> DataFrame:
     """(query_id, rank, key, bm25) for a table of queries (query_id, query): the best top_k entries of each.
 
-    One pass over the entries serves all queries: postings meet the distinct tokens of the queries (a semi join that drops most
-    postings before any shuffle), and every ranking is a window of one query over its own candidates.
+    One pass over the entries serves all queries: their tokens meet the distinct tokens of the queries (a semi join that drops the others
+    before the counts are shuffled), and every ranking is a window of one query over its own candidates.
     """
     from recallforge.functions.text import normalised_query
+    from recallforge.plans.session import scratch
 
     wanted = queries.select("query_id", F.explode(F.array_distinct(F.split(normalised_query(F.col("query")), " "))).alias("token")).where("token <> ''")
-    lengths = entries.agg(F.count("*"), F.coalesce(F.sum(F.size(tokens(F.col(text)))), F.lit(0))).first()
+    lengths = entries.agg(F.count("*"), F.coalesce(F.sum(token_count(F.col(text))), F.lit(0))).first()
     n, mean = float(lengths[0]), lengths[1] / lengths[0] if lengths[0] and lengths[1] else 1.0
-    hits = postings(entries, text, key).join(wanted.select("token").distinct(), "token", "left_semi")
+    found = entries.select(F.col(key).alias("key"), F.explode(F.array(tokens(F.col(text)))).alias("found_")).select("key", F.size("found_").alias("dl"), "found_")
+    hits = found.select("key", "dl", F.explode("found_").alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
+    hits = hits.groupBy("key", "dl", "token").agg(F.count("*").alias("f"))
+    path = scratch(entries.sparkSession, "postings")
+    hits.write.parquet(path)  # for the document frequencies and the scores: texts are not tokenized for each
+    hits = entries.sparkSession.read.parquet(path)
     df = hits.groupBy("token").agg(F.count("*").cast("double").alias("df"))
     weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / mean))
     scored = hits.join(wanted.join(df, "token"), "token").groupBy("query_id", "key").agg(F.sum(weight).alias("bm25"))
@@ -106,8 +138,7 @@ def text_search_many(entries: DataFrame, queries: DataFrame, top_k: int = 10, te
 
 def vector_scores(entries: DataFrame, query: list[float], column: str = "embedding") -> DataFrame:
     """entries with a cos column, null where the vector cannot be compared."""
-    value = F.array(cosine(F.col(column), literal(query)))
-    return entries.select("*", F.explode(value).alias("cos"))  # a fence, as in with_term_counts
+    return entries.select("*", F.explode(F.array(cosine_to(F.col(column), query))).alias("cos"))  # a fence, as in with_term_counts
 
 
 def min_max(df: DataFrame, raw: str, score: str = "score") -> DataFrame:
@@ -133,13 +164,19 @@ def vector_search(entries: DataFrame, query: list[float], top_k: int | None = 10
 
 
 def text_search(entries: DataFrame, query: list[str], top_k: int | None = 10, key: str = "id", keep: Column | None = None, min_score: float | None = None) -> DataFrame:
-    """All entries with a query token, scored by min-max of BM25 over them, then the best top_k; None keeps them all, in no order."""
-    matched = min_max(text_scores(entries, query, keep).where("bm25 > 0"), "bm25").withColumn("reason", F.lit("text match (bm25)"))
-    if min_score is not None:
-        matched = matched.where(F.col("score") >= min_score)
+    """All entries with a query token, scored by min-max of BM25 over them, then the best top_k; None keeps them all, in no order.
+
+    With top_k the texts are tokenized once and the best keys, which are unique, meet the entries again; the score grows with BM25, so they are the same.
+    """
     if top_k is None:
-        return matched
-    return matched.orderBy(F.desc("score"), F.desc("bm25"), key).limit(top_k)
+        matched = min_max(text_scores(entries, query, keep).where("bm25 > 0"), "bm25").withColumn("reason", F.lit("text match (bm25)"))
+        return matched if min_score is None else matched.where(F.col("score") >= min_score)
+    with held_scores(entries, query, key, keep=keep) as scored:
+        best = min_max(scored, "bm25").where(F.lit(True) if min_score is None else F.col("score") >= min_score)
+        best = best.orderBy(F.desc("bm25"), key).limit(top_k)
+        few = entries.sparkSession.createDataFrame(best.collect(), best.schema).withColumn("reason", F.lit("text match (bm25)"))
+    found = entries.join(F.broadcast(few), key).select(*entries.columns, "bm25", "score", "reason")  # top_k rows
+    return found.orderBy(F.desc("score"), F.desc("bm25"), key).limit(top_k)
 
 
 def ranks_of(pool: DataFrame, few: list, raw: str, key: str) -> dict:
@@ -167,15 +204,20 @@ def ranked(pool: DataFrame, raw: str, key: str, rank: str) -> DataFrame:
     return pool.sparkSession.createDataFrame(row, f"{key} {dict(pool.dtypes)[key]}, {rank} long")
 
 
-def hybrid_search(entries: DataFrame, query: list[str], vector: list[float], top_k: int = 10, key: str = "id", keep: Column | None = None, stats: CorpusStats | None = None, whole: bool = False, pool: int | None = None) -> DataFrame:
+def hybrid_search(entries: DataFrame, query: list[str], vector: list[float], top_k: int = 10, key: str = "id", keep: Column | None = None, whole: bool = False, pool: int | None = None, counted: bool = False) -> DataFrame:
     """Reciprocal rank fusion of the nearest `pool` entries by cosine (fetch_k(top_k) unless given) and all entries with a query token; the best top_k.
 
     A null cosine and a BM25 of 0 are unranked: one more than the number of candidates. A row beyond place 2 * top_k + 60 of both lists scores
     less than 1 / (60 + top_k), which the first top_k of a list reach, so only the heads of the two lists (a bounded number of rows) are
     fused, with their exact ranks among all candidates. With whole, every candidate comes back, in no order.
+    Entries are read once; with counted they have the columns of with_term_counts already, counted for this query.
     """
-    scored = vector_scores(text_scores(entries, query, keep, stats=stats), vector).select(key, "cos", "bm25").persist()
+    admitted = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    near_to = F.when(admitted, cosine_to(F.col("embedding"), vector))
+    counts = entries if counted else with_term_counts(entries, query)
+    held = counts.select(key, F.explode(F.array(near_to)).alias("cos"), admitted.alias("kept_"), "dl", "tf").persist()
     try:
+        scored = held.where("kept_").select(key, "cos", bm25(corpus_stats(held, query), query).alias("bm25"))
         near = scored.where("cos IS NOT NULL").orderBy(F.desc("cos"), key).limit(fetch_k(top_k) if pool is None else pool).collect()
         last = near[-1] if near else None
         if last is None:
@@ -194,7 +236,7 @@ def hybrid_search(entries: DataFrame, query: list[str], vector: list[float], top
         few = list({r[key]: r for rows in heads for r in rows}.values())
         vector_rank, text_rank, n = ranks_of(pooled, few, "cos", key), ranks_of(pooled, few, "hit", key), pooled.count()
     finally:
-        scored.unpersist()
+        held.unpersist()
     rows = []
     for r in few:
         v, t = vector_rank.get(r[key], n + 1), text_rank.get(r[key], n + 1)

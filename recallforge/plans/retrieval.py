@@ -73,15 +73,13 @@ _COS = f"""c AS (SELECT vec_id, label, list_dot_product(embedding::DOUBLE[], {_S
 
 @_query(f"WITH {_BM25} SELECT doc_id, round(bm25, 6) bm25 FROM b ORDER BY b.bm25 DESC, doc_id LIMIT 10")
 def bm25_topk(spark, sf_dir):
-    scored = retrieve.text_scores(_entries(spark, sf_dir), WORDS).where("bm25 > 0")
-    return retrieve.top(scored, 10, "bm25").select(F.col("id").alias("doc_id"), *_six("bm25"))
+    return retrieve.text_top(_entries(spark, sf_dir), WORDS, 10).select(F.col("id").alias("doc_id"), *_six("bm25"))
 
 
 @_query(f"WITH {_BM25} SELECT doc_id, round(bm25, 6) bm25 FROM b JOIN documents USING (doc_id) WHERE lang = 'de' AND source <> 'src1' ORDER BY b.bm25 DESC, doc_id LIMIT 10")
 def bm25_tenant_filter(spark, sf_dir):
     keep = Filter("de").column() & (F.col("collection") != "src1")
-    scored = retrieve.text_scores(_entries(spark, sf_dir), WORDS, keep).where("bm25 > 0")
-    return retrieve.top(scored, 10, "bm25").select(F.col("id").alias("doc_id"), *_six("bm25"))
+    return retrieve.text_top(_entries(spark, sf_dir), WORDS, 10, keep=keep).select(F.col("id").alias("doc_id"), *_six("bm25"))
 
 
 @_query(f"WITH {_BM25} SELECT doc_id, round((bm25 - (SELECT min(bm25) FROM b)) / (SELECT max(bm25) - min(bm25) FROM b), 6) score, 'text match (bm25)' reason FROM b ORDER BY bm25 DESC, doc_id LIMIT 10")
@@ -207,10 +205,9 @@ f AS (SELECT doc_id, CASE WHEN cos IS NULL THEN n + 1 ELSE vr0 END vr, CASE WHEN
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, top_k: int = 10) -> DataFrame:
-    plain = _entries(spark, sf_dir).select("id", "text")
-    stats = retrieve.corpus_stats(retrieve.with_term_counts(plain, WORDS), WORDS)  # before the embedding, which need not run for it
-    entries = with_hash_embedding(plain).withColumn("embedding", F.col("slots").cast("array<double>")).drop("slots")
-    return retrieve.hybrid_search(entries, WORDS, [float(x) for x in _QUERY_SLOTS], top_k, stats=stats)
+    counted = retrieve.with_term_counts(_entries(spark, sf_dir).select("id", "text"), WORDS, found="found").drop("text")
+    made = with_hash_embedding(counted, found="found").withColumn("embedding", F.col("slots").cast("array<double>")).drop("slots")
+    return retrieve.hybrid_search(made, WORDS, [float(x) for x in _QUERY_SLOTS], top_k, counted=True)
 
 
 @_query(f"WITH {_POOL} SELECT doc_id, round(1.0::DOUBLE/(60+vr) + 1.0::DOUBLE/(60+tr), 6) AS score, 'hybrid/rrf(vector_rank=' || vr || ', text_rank=' || tr || ')' AS reason FROM f ORDER BY 1.0::DOUBLE/(60+vr) + 1.0::DOUBLE/(60+tr) DESC, doc_id LIMIT 10")
@@ -223,10 +220,11 @@ _NORM = "(bm25 - (SELECT min(bm25) FROM b)) / (SELECT max(bm25) - min(bm25) FROM
 
 @_query(f"WITH {_BM25}, w AS (SELECT doc_id, {_NORM} * (1 + 0.4::DOUBLE * (coalesce(quality::DOUBLE, 0.5::DOUBLE) - 0.5::DOUBLE)) score FROM b LEFT JOIN labels USING (doc_id)) SELECT doc_id, round(score, 6) AS score FROM w ORDER BY w.score DESC, doc_id LIMIT 20")
 def confidence_weighted(spark, sf_dir):
-    matched = retrieve.min_max(retrieve.text_scores(_entries(spark, sf_dir), WORDS).where("bm25 > 0"), "bm25").select("id", "score")
     trust = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("confidence"))
-    joined = matched.join(trust, "id", "left").withColumn("score", retrieve.confidence_weight(F.col("score"), F.lit("memory"), F.col("confidence")))
-    return retrieve.top(joined, 20).select(F.col("id").alias("doc_id"), *_six("score"))
+    with retrieve.held_scores(_entries(spark, sf_dir), WORDS, "id") as scored:
+        joined = retrieve.min_max(scored, "bm25").join(trust, "id", "left").withColumn("score", retrieve.confidence_weight(F.col("score"), F.lit("memory"), F.col("confidence")))
+        best = retrieve.top(joined, 20).select(F.col("id").alias("doc_id"), *_six("score"))
+        return spark.createDataFrame(best.collect(), best.schema)
 
 
 _CHUNKED = _BM25.replace("FROM documents)", "FROM ck)", 1).replace("doc_id", "cid")
@@ -237,8 +235,10 @@ _CK = f"ck0 AS (SELECT doc_id, {_SPLIT} tk FROM documents), ck AS (SELECT doc_id
 def dedup_best_chunk(spark, sf_dir):
     chunks = _entries(spark, sf_dir).select(F.col("id").alias("document_id"), F.posexplode(T.chunks(F.col("text"))).alias("o", "text"))
     entries = chunks.select("document_id", F.concat_ws("#", F.col("document_id").cast("string"), F.col("o").cast("string")).alias("id"), "text", F.lit("document_chunk").alias("kind"))
-    scored = retrieve.text_scores(entries, WORDS).where("bm25 > 0").select("document_id", "id", "kind", F.col("bm25").alias("score"))
-    return retrieve.top(retrieve.best_chunk(scored), 50).select(F.col("document_id").alias("doc_id"), F.col("id").alias("chunk_id"), *_six("score"))
+    with retrieve.held_scores(entries, WORDS, "document_id", "id", "kind") as scored:
+        best = retrieve.top(retrieve.best_chunk(scored.withColumnRenamed("bm25", "score")), 50)
+        best = best.select(F.col("document_id").alias("doc_id"), F.col("id").alias("chunk_id"), *_six("score"))
+        return spark.createDataFrame(best.collect(), best.schema)
 
 
 _PICKS = "p1 AS (SELECT vec_id FROM m ORDER BY score DESC, cos DESC, vec_id LIMIT 1)"
