@@ -12,12 +12,18 @@ from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Most words kept, about 200 bytes each; a task ends by forgetting its words.
 _CACHE = 600_000
-#: A word and the marks behind it: every tokenizer here cuts between a letter and these.
-_MARKED = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?&%#$*|]+)", re.S)
+#: What sends a text through the whole tokenizer: any Unicode white space but a blank or line feed, one of these beside another or at an end, and NUL.
+_OTHER_SPACE = r"[\x00\t\x0B\x0C\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
+#: Marks behind a word: every tokenizer here cuts between a letter and these.
+_MARKS = ".,;:!?&%#$*|"
+_LETTER = frozenset(c for c in map(chr, range(0x100)) if re.match("[A-Za-zÀ-ÖØ-öø-ÿ]", c))
 #: One word of plain letters, with or without the space before it: the tokenizer's model takes it in one piece.
 _LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
@@ -44,27 +50,27 @@ class Encoder:
     def _ids(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _chunks(self, text: str) -> list[str] | None:
-        """The words of a text in which single blanks and line feeds, and nothing else, part them; None of any other."""
-        words = text.split()  # at any Unicode white space and at 1C to 1F
-        parts = text.count(" ") + text.count("\n")
-        if len(words) != parts + 1 or sum(map(len, words)) != len(text) - parts or "\0" in text:
-            return None
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if self.spaced else words
+    def _chunks(self, texts: pa.Array) -> pa.ListArray:
+        """The chunks of texts in which single blanks and line feeds, and nothing else, part words."""
+        if not self.spaced:
+            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        return pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", "\0\n\0"), " ", "\0 "), "\0")
 
     def _learn(self, fresh: set[str]) -> None:
         """Take words into the cache. Words of plain letters go to the tokenizer's model as they are, all else through the whole tokenizer."""
-        cache, marked = self.cache, []
-        for c in list(fresh):
-            m = _MARKED.fullmatch(c)
-            if m:
-                marked.append((c, m[1], m[2]))
-                fresh.discard(c)
-                fresh.update(x for x in m.groups() if x not in cache)
-        tokenize, odd = self.tokenizer.model.tokenize, []
+        cache, marked, plain = self.cache, [], set()
         for c in fresh:
+            word = c.rstrip(_MARKS)
+            if len(word) < len(c) and word and word[-1] in _LETTER:
+                marked.append((c, word, c[len(word) :]))
+                plain.update(x for x in marked[-1][1:] if x not in cache)
+            else:
+                plain.add(c)
+        tokenize, odd = self.tokenizer.model.tokenize, []
+        for c in plain:
             if _LETTERS.fullmatch(c):
-                letters = (c if self.spaced else c.lower()).encode().decode("latin-1").translate(_BYTE_LETTERS)
+                c_ = c if self.spaced else c.lower()
+                letters = c_.replace(" ", _BYTE_LETTERS[0x20]) if c_.isascii() else c_.encode().decode("latin-1").translate(_BYTE_LETTERS)
                 cache[c] = array("I", [t.id for t in tokenize(letters)]).tobytes()
             else:
                 odd.append(c)
@@ -74,19 +80,32 @@ class Encoder:
             cache[c] = cache[word] + cache[marks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._chunks(t) if t else [] for t in texts]
+        """Chunks are numbered and their ids gathered as whole arrays; only distinct chunks of the batch become Python objects."""
+        whole = pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(whole, _OTHER_SPACE).to_numpy(zero_copy_only=False)
+        plain = ~odd & (pc.binary_length(whole).to_numpy(zero_copy_only=False) > 0)
+        out = [b""] * len(texts)
+        for i in np.flatnonzero(odd):  # one at a time: such a text may be long
+            out[i] = self._ids([texts[i]])[0]
+        if not plain.any():
+            return out
         cache = self.cache
         if len(cache) > _CACHE:
             cache.clear()
-        fresh: set[str] = set()
-        for parts in cut:
-            if parts:
-                fresh.update(set(parts).difference(cache))
-        self._learn(fresh)
-        out = [b"" if parts is None else b"".join(map(cache.__getitem__, parts)) for parts in cut]
-        for i, parts in enumerate(cut):
-            if parts is None:  # one at a time: such a text may be long
-                out[i] = self._ids([texts[i]])[0]
+        lists = self._chunks(whole.filter(pa.array(plain)))
+        coded = lists.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        self._learn(set(names).difference(cache))
+        known = [cache[c] for c in names]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        pool, starts = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        counts = sizes[at]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        ids = pool[np.repeat(starts[at] - ends[:-1], counts) + np.arange(ends[-1])]
+        bounds = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        for i, low, high in zip(np.flatnonzero(plain), bounds[:-1], bounds[1:]):
+            out[i] = ids[low:high].tobytes()
         return out
 
 
@@ -101,3 +120,4 @@ def encoder(path: str, spaced: bool) -> Iterator[Encoder]:
         yield held
     finally:
         held.cache.clear()
+        pa.default_memory_pool().release_unused()

@@ -25,6 +25,15 @@ def test_ids_equal_those_of_the_whole_text(name, spaced):
     assert ours.encode(texts) == want and ours.encode(texts) == want
 
 
+@pytest.mark.parametrize("name,spaced", FILES)
+def test_ids_around_every_white_space(name, spaced):
+    ours, theirs = Encoder(P.path(name), spaced), Tokenizer.from_file(P.path(name))
+    blanks = ["\0", *(c for c in map(chr, range(0x10000)) if c.isspace())]
+    texts = [t for c in blanks for t in (f"one{c}two, three", f"one {c}two", f"one{c}\ntwo", f"{c}one", f"one{c}", c, f"one{c}two{c}the.")] + ["", " ", "\n", "one two\nthree"]
+    assert ours.encode(texts) == [np.array(theirs.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert ours.encode([]) == [] and ours.encode(["", ""]) == [b"", b""]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
