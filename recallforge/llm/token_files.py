@@ -73,11 +73,12 @@ def decode_frame(raw: memoryview, at: int = 0) -> tuple[int, int, list[int | Non
 
     docs, null, sizes, table = take("<i8", n), take("u1", n), take("<u8", n).astype(np.int64), take("<u4", entries)
     lengths = _LENGTHS[take("u1", -(-tokens // 4))].reshape(-1)[:tokens]
-    data = np.concatenate((take("u1", size), np.zeros(3, np.uint8)))
+    data = take("u1", size)
     start = np.cumsum(lengths) - lengths
-    rank = np.zeros(tokens, np.int64)
-    for k in range(int(lengths.max(initial=0))):
-        rank |= np.where(lengths > k, data[start + k].astype(np.int64) << 8 * k, 0)
+    rank = data[start].astype(np.uint32)
+    for k in range(1, int(lengths.max(initial=0))):
+        longer = np.flatnonzero(lengths > k)
+        rank[longer] |= data[start[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return task, frame, [None if x else int(d) for d, x in zip(docs, null)], sizes, table[rank], at
 
 
