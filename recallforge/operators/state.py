@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,17 +40,24 @@ def superseded(writes: DataFrame, tenant: str = "tenant_id", key: str = "id", se
     return marks.join(own, [tenant, key]).where("m.at >= own").select(tenant, key, F.col("m.by").alias("superseded_by"))
 
 
-def numbered(df: DataFrame, *order, start: int = 0, column: str = "seq") -> DataFrame:
-    """df with a column that numbers its rows from start on, in the given order. Rows are sorted in ranges and numbered from the ranges' sizes, a row for each range."""
-    placed = df.orderBy(*order).withColumn("at_", F.monotonically_increasing_id())
-    part = F.shiftright("at_", 33)
-    sizes = sorted((r[0], r[1]) for r in placed.groupBy(part).count().collect())
-    first, before = start, []
-    for k, n in sizes:
-        before += [F.lit(k), F.lit(first).cast("long")]
-        first += n
-    offset = F.create_map(*before)[part] if before else F.lit(0).cast("long")
-    return placed.withColumn(column, offset + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))).drop("at_")
+@contextmanager
+def numbered(df: DataFrame, *order, start: int = 0, column: str = "seq") -> Iterator[DataFrame]:
+    """df with a column that numbers its rows from start on, in the given order. Rows are sorted in ranges and numbered from the ranges' sizes, a row for each range.
+
+    The sorted rows are kept on disk inside the `with`: a second sort would draw other ranges, whose sizes are not those that were counted.
+    """
+    placed = df.orderBy(*order).withColumn("at_", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    try:
+        part = F.shiftright("at_", 33)
+        sizes = sorted((r[0], r[1]) for r in placed.groupBy(part).count().collect())
+        first, before = start, []
+        for k, n in sizes:
+            before += [F.lit(k), F.lit(first).cast("long")]
+            first += n
+        offset = F.create_map(*before)[part] if before else F.lit(0).cast("long")
+        yield placed.withColumn(column, offset + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))).drop("at_")
+    finally:
+        placed.unpersist()
 
 
 def first_gap(numbers: DataFrame, column: str = "seq") -> int:

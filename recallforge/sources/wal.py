@@ -36,7 +36,8 @@ def write(bodies: DataFrame, path: str, order: str, body: str = "body") -> None:
         start = recover(spark, path).count()
         if start != raw.count():
             raise Damaged(path)
-    lines(numbered(bodies.select(order, body), order, start=start, column="number_"), body, "number_").write.mode("append").text(path)
+    with numbered(bodies.select(order, body), order, start=start, column="number_") as rows:
+        lines(rows, body, "number_").write.mode("append").text(path)
 
 
 def recover(spark: SparkSession, path: str) -> DataFrame:

@@ -146,6 +146,15 @@ def test_log_recovery(spark, tmp_path):
             assert got(str(tmp_path / "mended")) == want[:35]
 
 
+def test_a_log_of_many_lines_is_numbered_without_gaps(spark, tmp_path):
+    """So many bytes that Spark merges the ranges of the narrow rows that are counted, but not those of the lines that are written."""
+    bodies = spark.range(0, 60_000, numPartitions=6).select(((F.col("id") * 7919) % 60_000).alias("seq")).withColumn("body", F.format_string('{"n":%d,"h":"%s"}', "seq", F.sha2(F.col("seq").cast("string").cast("binary"), 512)))
+    wal.write(bodies, str(tmp_path / "log"), "seq")
+    right = F.get_json_object("body", "$.n").cast("long") == F.col("pos")
+    got = wal.recover(spark, str(tmp_path / "log")).agg(F.count("*"), F.max("pos"), F.count_if(right)).first()
+    assert tuple(got) == (60_000, 59_999, 60_000)
+
+
 def test_log_files_without_numbers(spark, tmp_path):
     import zlib
 
