@@ -330,6 +330,20 @@ def test_lm_learns_from_the_whole_texts_of_all_training_documents(docs):
     assert pair(b"xj") > pair(b"~~") and pair(b"zq") > pair(b"~~")  # from both ends of a long text
 
 
+def test_lm_learns_from_each_training_text_once_whatever_the_size(docs):
+    for n in (3, 60):
+        body = docs(*(f"a b c {i}" for i in range(n))).select("doc_id", "text").withColumn("held_out", lm._held_out(lm.F.col("doc_id")))
+        model, (_, encoded) = lm.fit(body, lm.counts(body).cache())
+        assert model.learned == model.n == 5 * encoded.where("NOT held_out").count()
+
+
+def test_sums_of_runs_of_rows():
+    r = np.random.default_rng(4)
+    sizes = np.array([1, 3, 8, 9, 1, 200, 2])
+    rows, edges = r.normal(size=(sizes.sum(), 5)), np.cumsum(sizes) - sizes
+    assert np.allclose(lm.added_up(rows, edges), np.add.reduceat(rows, edges))
+
+
 def test_lm_held_out(spark):
     held = [r for r in lm.score(table(spark, MID, "documents")).collect() if r.held_out]
     assert sum(r.score for r in held) / sum(r.n_tokens for r in held) > -3.65
