@@ -347,3 +347,33 @@ def test_sums_of_runs_of_rows():
 def test_lm_held_out(spark):
     held = [r for r in lm.score(table(spark, MID, "documents")).collect() if r.held_out]
     assert sum(r.score for r in held) / sum(r.n_tokens for r in held) > -3.65
+
+
+def test_split_finds_the_words_of_slices():
+    import pyarrow as pa
+
+    texts = ["Drop ME", None, "", " \t\n", "É A\x1cb\x0bc ", "x", "  Two  words", "\x85 \xa0 end"]
+    for a in range(len(texts)):
+        some, sizes = lm.split(pa.array(texts).slice(a, 5))
+        want = [lm.words((t or "").encode()) for t in texts[a : a + 5]]
+        assert sizes.tolist() == list(map(len, want)) and some.to_pylist() == [w for ws in want for w in ws]
+
+
+def test_clusters_read_each_text_once(spark, docs):
+    """However many passes of k-means follow; their letter pairs are those of a plain count."""
+    texts = ["ab " * 400 + "cd", "xyz zyx", None, "  ", "the end. " * 5]
+    rows, train = spark.sparkContext.accumulator(0), docs(*texts).select("text")
+
+    def seen(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    letters = lm.clusters(train.mapInArrow(seen, "text string"), lm.seeds([b"ab ab", b"xyz", b"the end."]))
+    lines = [b" " + b" ".join(lm.words(t.encode())) + b" " for t in texts if t and t.strip()]
+    pairs = Counter(p for line in lines for p in zip(line, line[1:]))
+    assert rows.value == len(texts)
+    x = np.exp(letters.astype(float)).max(1)
+    assert {(int(at) >> 8, int(at) & 255) for at in np.flatnonzero(x > x.min() * 5)} >= set(pairs)
+    owner, p, n = lm.pair_counts([line.strip() for line in lines])
+    assert {(int(k) >> 8, int(k) & 255): int(n[p == k].sum()) for k in set(p.tolist())} == pairs
